@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import frequency, spans, splits
+from folioscope.llm import frequency, mojibake, spans, splits
 from folioscope.sources.tables import once, table
 
 SPLIT_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -71,5 +71,13 @@ def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("collection", "n", F.array_join("ngram", " ").alias("term"), "occurrences", "records")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = once(table(spark, sf_dir, "corpus"), "corpus_id", "name", "source", "words")
+    lang = F.substring_index("name", "_", 1).alias("lang")
+    words = corpus.select("corpus_id", lang, F.lit("words").alias("field"), F.posexplode("words").alias("pos", "value"))
+    paths = corpus.select("corpus_id", lang, F.lit("source").alias("field"), F.lit(-1).alias("pos"), F.col("source").alias("value"))
+    return mojibake.restore(words.unionByName(paths).withColumnRenamed("corpus_id", "id")).toDF("corpus_id", "field", "pos", "restored")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_found": p5_found}
 ORACLE: dict[str, str] = {}
