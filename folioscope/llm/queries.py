@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import frequency, mojibake, spans, splits
+from folioscope.llm import frequency, language, mixing, mojibake, packing, spans, splits, tokens
 from folioscope.sources.tables import once, table
 
 SPLIT_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -79,5 +79,38 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(words.unionByName(paths).withColumnRenamed("corpus_id", "id")).toDF("corpus_id", "field", "pos", "restored")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_found": p5_found}
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_sizes(once(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "doc_id", "text").withColumnRenamed("doc_id", "id")
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _sizes(spark, sf_dir).select("id", F.col("tokens").alias("size"))
+    return packing.pack(items, table(spark, sf_dir, "container_spec")).withColumnRenamed("item", "doc_id")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_target"))[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_target"))[1]
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = once(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    model = language.fit(table(spark, sf_dir, "lang_reference"), table(spark, sf_dir, "documents"))
+    return documents, language.label_segments(documents, model)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, segments = _languages(spark, sf_dir)
+    labels = documents.select("doc_id", language.language_code(F.col("lang")).alias("label"))
+    return segments.join(labels, "doc_id").where("seg_no > 0 or label is null or label <> lang").select("doc_id", "seg_no", "lang")
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir)[1]
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p6_pack": p6_pack, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages}
 ORACLE: dict[str, str] = {}
