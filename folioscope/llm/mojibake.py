@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import cut_lineage
+
 # Encodings text may have been read in, for UTF-8 bytes; (read in, written in) for others. cp1252 stands for latin-1 too.
 READ_IN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "cp1254", "cp1255", "cp1256", "cp1257", "iso8859_2", "koi8_r")
 BYTE_PAIRS = (("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp1250"), ("cp1252", "iso8859_2"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "iso8859_5"), ("cp1252", "cp1253"), ("cp1252", "iso8859_7"), ("cp1252", "cp1255"), ("cp1252", "iso8859_8"), ("cp1252", "mac_roman"))
@@ -118,7 +120,7 @@ def _candidates(usual: dict[str, set[str]]):
 
 def _plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.assign(value=pdf["value"].map({v: plain_form(v) for v in pdf["value"].unique()}))
+        yield pdf.assign(plain=pdf["value"].map({v: plain_form(v) for v in pdf["value"].unique()}))
 
 
 def restore(values: DataFrame, word_field: str = "words") -> DataFrame:
@@ -134,8 +136,8 @@ def restore(values: DataFrame, word_field: str = "words") -> DataFrame:
     ``MAX_ALPHABET_ROWS`` in all are refused.
     """
     odd = values.select(F.col("id"), F.lower(F.coalesce("lang", F.lit(""))).alias("lang"), "field", F.col("pos").cast("int").alias("pos"), "value").where(F.col("id").isNotNull() & F.col("value").rlike(r"[^\x00-\x7F]"))
-    words = odd.where(F.col("field") == word_field)
-    folded = words.select("lang", "id", F.col("value")).mapInPandas(_plain, "lang string, id long, value string")
+    odd = cut_lineage(odd.mapInPandas(_plain, "id long, lang string, field string, pos int, value string, plain string"))
+    folded = odd.where(F.col("field") == word_field).select("lang", "id", F.col("plain").alias("value"))
     letters = folded.select("lang", "id", F.explode(F.array_distinct(F.filter(F.split("value", ""), lambda c: c.rlike(r"[^\x00-\x7F]")))).alias("c")).groupBy("lang", "c").agg(F.count_distinct("id").alias("n"))
     records = values.groupBy(F.lower(F.coalesce("lang", F.lit(""))).alias("lang")).agg(F.count_distinct("id").alias("all"))
     common = letters.join(records, "lang").where(F.col("n") >= USUAL_SHARE * F.col("all")).select("lang", "c").limit(MAX_ALPHABET_ROWS + 1).collect()
