@@ -27,11 +27,11 @@ _DQ = r'"(?:[^"\\]|\\.|"")*"'
 _SQ = r"'(?:[^'\\]|\\.|'')*'"
 
 
-def resolve_transcription(raw: Column, depth: int = 4) -> Column:
+def resolve_transcription(raw: Column, depth: int = 4, loose: bool = True) -> Column:
     """Transcription markup to words and separators: drawing gaps become ``.``, marks, tags and comments vanish,
     the first alternative and the content of a ligature stay, ``@ddd;`` becomes ``Uddd``.
 
-    Brackets are resolved to a nesting of ``depth``.
+    Brackets are resolved to a nesting of ``depth``. ``loose`` takes ``=`` and ``-`` as separators too.
     """
     text = F.regexp_replace(raw, r"<!.*?>", "")
     text = F.regexp_replace(text, r"<[-~]>", ".")
@@ -41,7 +41,7 @@ def resolve_transcription(raw: Column, depth: int = 4) -> Column:
         text = F.regexp_replace(text, r"\{([^{}]*)\}", "$1")
     text = F.regexp_replace(text, r"@(\d{3});", "U$1")
     text = F.replace(text, F.lit("/"), F.lit(""))
-    return F.regexp_replace(text, r"[=\-]", ".")
+    return F.regexp_replace(text, r"[=\-]", ".") if loose else text
 
 
 def _enclosure(text: Column) -> Column:
