@@ -113,4 +113,15 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p6_pack": p6_pack, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages}
-ORACLE: dict[str, str] = {}
+_TERMS = """WITH c0 AS (SELECT DISTINCT ON (corpus_id) corpus_id, words FROM corpus ORDER BY corpus_id), s0 AS (SELECT DISTINCT ON (rec_id) rec_id, page, word FROM sequence_record ORDER BY rec_id),
+raw AS (SELECT 'corpus' AS collection, CAST(corpus_id AS VARCHAR) AS record, unnest(words) AS w FROM c0 UNION ALL SELECT 'sequence_record', coalesce(page, ''), word FROM s0),
+term AS (SELECT collection, record, lower(trim(nfc_normalize(w), ' ')) AS term FROM raw WHERE w IS NOT NULL),
+tot AS (SELECT 'corpus' AS collection, count(*) AS total FROM c0 UNION ALL SELECT 'sequence_record', count(DISTINCT coalesce(page, '')) FROM s0),
+n AS (SELECT collection, term, count(*) AS occurrences, count(DISTINCT record) AS records FROM term WHERE term <> '' GROUP BY ALL),
+v AS (SELECT n.*, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.1 * total THEN 'common' END AS verdict FROM n JOIN tot USING (collection))
+"""
+
+ORACLE: dict[str, str] = {
+    "p4_found": _TERMS + "SELECT collection, term, verdict FROM v WHERE verdict IS NOT NULL",
+    "p4_terms": _TERMS + "SELECT collection, term, occurrences, records, verdict FROM v",
+}
