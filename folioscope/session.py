@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +28,26 @@ def local_session(app: str = "folioscope", cpus: str | None = None) -> SparkSess
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; on one local JVM a temporary one serves."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="folioscope-ck-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint in the cluster's shared folder.
+    """Materialise ``df`` as a table in the shared folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``; only where neither that setting nor an
-    earlier checkpoint folder exists (tests, a single machine) is a temporary one made.
+    A Parquet table is columnar and compressed, so it takes a fraction of the disk of a checkpoint of rows, later
+    steps read only the columns they need, and no executor that is lost takes it away.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folioscope-ck-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/folioscope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
