@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import cut_lineage
+
 # Separators told apart in a skeleton; any other sign outside a word falls into one class.
 SEPARATORS = (" ", "\t", ",", ";", "|", ".", "·", ":", "/")
 OTHER_SIGN = "o"
@@ -27,18 +29,32 @@ _DQ = r'"(?:[^"\\]|\\.|"")*"'
 _SQ = r"'(?:[^'\\]|\\.|'')*'"
 
 
-def resolve_transcription(raw: Column, depth: int = 4, loose: bool = True) -> Column:
+def _innermost(text: Column) -> Column:
+    """First alternatives and contents of ligatures in place of brackets that hold no others."""
+    text = F.regexp_replace(text, r"\[([^\[\]:]*)(?::[^\[\]]*)?\]", "$1")
+    return F.regexp_replace(text, r"\{([^{}]*)\}", "$1")
+
+
+def resolve_brackets(text: Column) -> Column:
+    """``_innermost`` to its fixpoint. Two passes, which nearly all texts need at most, stay in generated code; deeper
+    texts go on for as many passes as brackets are open at once in them."""
+    twice = _innermost(_innermost(text))
+    step = lambda s, c: F.when(c.isin("[", "{"), F.struct((s["open"] + 1).alias("open"), F.greatest(s["most"], s["open"] + 1).alias("most"))).otherwise(F.struct(F.greatest(s["open"] - 1, F.lit(0)).alias("open"), s["most"].alias("most")))
+    marks = F.split(F.regexp_replace(twice, r"[^\[\]{}]", ""), "")
+    nesting = F.aggregate(marks, F.struct(F.lit(0).alias("open"), F.lit(0).alias("most")), step)["most"]
+    deep = F.aggregate(F.sequence(F.lit(1), nesting), twice, lambda t, _: _innermost(t))
+    return F.when(twice.rlike(r"\[[^\[\]]*\]|\{[^{}]*\}"), deep).otherwise(twice)
+
+
+def resolve_transcription(raw: Column, loose: bool = True) -> Column:
     """Transcription markup to words and separators: drawing gaps become ``.``, marks, tags and comments vanish,
     the first alternative and the content of a ligature stay, ``@ddd;`` becomes ``Uddd``.
 
-    Brackets are resolved to a nesting of ``depth``. ``loose`` takes ``=`` and ``-`` as separators too.
+    Brackets are resolved at any depth. ``loose`` takes ``=`` and ``-`` as separators too.
     """
     text = F.regexp_replace(raw, r"<!.*?>", "")
     text = F.regexp_replace(text, r"<[-~]>", ".")
-    text = F.regexp_replace(text, r"<[%$]>|<@[A-Z]=[^>]+>", "")
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\[([^\[\]:]*)(?::[^\[\]]*)?\]", "$1")
-        text = F.regexp_replace(text, r"\{([^{}]*)\}", "$1")
+    text = resolve_brackets(F.regexp_replace(text, r"<[%$]>|<@[A-Z]=[^>]+>", ""))
     text = F.regexp_replace(text, r"@(\d{3});", "U$1")
     text = F.replace(text, F.lit("/"), F.lit(""))
     return F.regexp_replace(text, r"[=\-]", ".") if loose else text
@@ -109,6 +125,7 @@ def split_packed(df: DataFrame, id_col: str, transcription: Iterable[str] = (),
     enc = F.when(F.col("sq"), _enclosure(F.col("text"))).otherwise("")
     body = F.when(F.col("_enc") != "", F.substring("text", F.lit(2), F.length("text") - 2)).otherwise(F.col("text"))
     long = long.withColumn("_enc", enc).withColumn("_body", body).withColumn("_skel", skeleton(F.col("_body"), F.col("_enc"), F.col("sq"))).select("_id", "field", "_body", "_skel")
+    long = cut_lineage(long.sortWithinPartitions("_skel"))  # skeletons are made once; like ones adjoin, so each pattern is compiled once a task
     rules = long.select("_skel").distinct().mapInPandas(_rules, "_skel string, _pattern string, _quotes string")
     found = long.join(F.broadcast(rules), "_skel").select("_id", "field", "_quotes", F.regexp_extract_all("_body", F.col("_pattern"), F.lit(0)).alias("_hits"))
     values = F.filter(F.transform("_hits", lambda v: _unpack(v, F.col("_quotes"))), lambda v: F.length(v) > 0)

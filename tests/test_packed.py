@@ -11,7 +11,7 @@ EXPORTED = [
     ('{steody,"ottee@184;s",okteedy}', ["steody", "ottee@184;s", "okteedy"]),
     ('{tpcholy,"tte\\"ody"}', ["tpcholy", 'tte"ody']),
     ('"qokee""or"·eoal·tee', ['qokee"or', "eoal", "tee"]),
-    ("y@231\;eey;qodkol;p\\\"chom", ["y@231;eey", "qodkol", 'p"chom']),
+    ("y@231\\;eey;qodkol;p\\\"chom", ["y@231;eey", "qodkol", 'p"chom']),
     ("oktees;teoar\\,qooiir", ["oktees", "teoar,qooiir"]),
     ("an,oy\\ toeol,dan", ["an", "oy toeol", "dan"]),
     ("ftam chchean\tpooly al", ["ftam", "chchean", "pooly", "al"]),
@@ -31,6 +31,7 @@ RAW = [
     ('pe<!a "later" hand>.shl"am|"ltom, x"', ["pe", 'shl"am', "ltom, x"]),
     ("<@L=B>yloly-ltam . dol=", ["yloly", "ltam", "dol"]),
     ("ottee@184;s.okteedy oy/", ["otteeU184s", "okteedy", "oy"]),
+    ("a{b[c{d[e{f[gh:i]}:j]}:k]}.l", ["abcdefgh", "l"]), ("[[[[[[[x:y]:z]]]]]].w", ["x", "w"]),
     (None, []), ("<!only a comment>", []),
 ]
 
