@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm.spans import shared_span_words, windows
+from folioscope.llm.spans import Level, compress, recompress, shared_span_words, windows
 from folioscope.llm.splits import assign_splits, connected_components, plain_page, plain_quire
 
 
@@ -57,7 +57,11 @@ def test_equal_windows_have_equal_cores():
     rng = np.random.default_rng(3)
     span = rng.integers(0, 5, 12)
     text = np.concatenate([rng.integers(0, 5, 40), span, rng.integers(0, 5, 40), span, rng.integers(0, 5, 40)]).astype(np.uint64)
-    w = windows([text, text + np.uint64(7)], np.zeros(len(text), int), 12, 2)
+    words, seg, place = [text, text + np.uint64(7)], np.zeros(len(text), int), np.arange(len(text))
+    level, a, b = Level(words, place, place + 1, seg), place, place + 1
+    for salt in (1, 2):
+        level, a, b, made = compress(level, a, b, salt)
+    w = windows(words, seg, level, a, b, 12)
     by = defaultdict(set)
     for at, core, name in zip(w["at"], w["c0"], w["w0"]):
         by[tuple(text[at : at + 12])].add((core, name))
@@ -65,6 +69,22 @@ def test_equal_windows_have_equal_cores():
     assert len({next(iter(x))[1] for x in by.values()}) == len(by)
 
 
+def test_rounds_shorten_and_names_are_global(spark):
+    rng = random.Random(9)
+    rows = [("k", i, [rng.choice("abc") for _ in range(200)]) for i in range(30)]
+    words = {i: w for _, i, w in rows}
+    meaning = {}
+    for rounds in (1, 2, 3):
+        state = recompress(spark.createDataFrame(rows, "kind string, id long, words array<string>"), rounds).collect()
+        assert sum(len(r.s0) for r in state) < 0.9**rounds * 30 * 200
+        for r in state:
+            at = 0
+            for name, n in zip(zip(r.s0, r.s1), r.len):
+                assert meaning.setdefault((rounds, name), words[r.id][at : at + n]) == words[r.id][at : at + n]
+                at += n
+            assert at == 200
+
+
 def components(edges):
     parent = {}
 
