@@ -33,16 +33,32 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed(pages.drop("lines"), "name", components).select("seq_id", "group_key")
 
 
-def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page and every word record with its group and split; the weight of a group is its words in both tables."""
+def _split_rows(spark: SparkSession, sf_dir: str, seeds: int) -> tuple[DataFrame, DataFrame]:
+    """Every page and word record with its group, and the groups with their splits; a group weighs its words in both tables."""
     pages, words, components = _groups(spark, sf_dir)
     words = words.dropDuplicates(["rec_id"])
     size = F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.flatten("lines")))
     rows = _keyed(pages, "name", components).select(F.lit("page_sequence").alias("record_kind"), F.col("seq_id").alias("record_id"), "group_key", size.cast("long").alias("words")).unionByName(
         _keyed(words, "page", components).select(F.lit("decomposition_record").alias("record_kind"), F.col("rec_id").alias("record_id"), "group_key", F.lit(1).cast("long").alias("words")))
     weights = rows.groupBy(F.col("group_key").alias("component")).agg(F.sum("words").alias("weight"))
-    chosen = splits.assign_splits(weights, SPLIT_SHARES).select(F.col("component").alias("group_key"), "split")
-    return rows.join(chosen, "group_key").select("record_kind", "record_id", "group_key", "split", "words")
+    return rows, splits.assign_splits(weights, SPLIT_SHARES, seeds=seeds).withColumnRenamed("component", "group_key")
+
+
+def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page and every word record with its group and split."""
+    rows, chosen = _split_rows(spark, sf_dir, splits.SEEDS)
+    return rows.join(chosen.drop("weight"), "group_key").select("record_kind", "record_id", "group_key", "split", "words")
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, words and share of each split, with the seed chosen and with the first one as it is."""
+    parts = []
+    for rule, seeds in (("chosen_seed", splits.SEEDS), ("first_seed", 1)):
+        _, chosen = _split_rows(spark, sf_dir, seeds)
+        total = chosen.agg(F.sum("weight").alias("all"))
+        per = chosen.groupBy("split").agg(F.count("*").alias("groups"), F.sum("weight").cast("long").alias("words"))
+        parts.append(per.crossJoin(F.broadcast(total)).select(F.lit(rule).alias("rule"), "split", "groups", "words", (F.col("words") / F.col("all")).alias("share")))
+    return parts[0].unionByName(parts[1])
 
 
 def _corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +128,7 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p6_pack": p6_pack, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p2_shares": p2_shares, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p6_pack": p6_pack, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages}
 _TERMS = """WITH c0 AS (SELECT DISTINCT ON (corpus_id) corpus_id, words FROM corpus ORDER BY corpus_id), s0 AS (SELECT DISTINCT ON (rec_id) rec_id, page, word FROM sequence_record ORDER BY rec_id),
 raw AS (SELECT 'corpus' AS collection, CAST(corpus_id AS VARCHAR) AS record, unnest(words) AS w FROM c0 UNION ALL SELECT 'sequence_record', coalesce(page, ''), word FROM s0),
 term AS (SELECT collection, record, lower(trim(nfc_normalize(w), ' ')) AS term FROM raw WHERE w IS NOT NULL),

@@ -5,9 +5,10 @@ cluster to the smallest member and that member to the whole cluster, until nothi
 arrays, so the cluster of a component that holds a third of all nodes is spread like any other rows (the joins to
 one row a node are split by adaptive execution). Each round ends in a reliable checkpoint.
 
-Components go to splits by weighted rendezvous hashing: the split with the smallest ``-ln(hash)/share`` wins.
-Components of at least ``HEAVY`` of the whole weight (so at most ``1/HEAVY``) are placed first, largest first, where
-most is missing; the others are hashed with the shares still missing.
+Components go to splits by weighted rendezvous hashing, all of them: the split with the smallest ``-ln(hash)/share``
+wins. Hashing evens out over many light components; a few heavy ones, the same for every seed, may not. So the seed is
+chosen: among ``SEEDS`` candidates the one that brings the components of at least ``HEAVY`` of the weight (at most
+``1/HEAVY`` rows) nearest to the shares. The light components are hashed with what the heavy ones leave of each share.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from folioscope.session import cut_lineage
 
-HEAVY = 0.005
+HEAVY = 0.002
+SEEDS = 4096
 MAX_ROUNDS = 60
 
 
@@ -56,27 +58,44 @@ def connected_components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"clusters still change after {MAX_ROUNDS} rounds")
 
 
-def assign_splits(components: DataFrame, shares: Mapping[str, float], seed: int = 408) -> DataFrame:
+def rendezvous(component: Column, seed: Column, shares: Mapping[str, float]) -> Column:
+    """The split of a component by weighted rendezvous hashing."""
+    uniform = lambda split: (F.pmod(F.xxhash64(seed, F.lit(split), component), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.array_min(F.array(*[F.struct((-F.log(uniform(k)) / w).alias("s"), F.lit(k).alias("split")) for k, w in sorted(shares.items())]))["split"]
+
+
+def balanced_seed(weights: DataFrame, shares: Mapping[str, float], total: float, seed: int, seeds: int) -> tuple[int, dict[str, float]]:
+    """Among ``seeds`` seeds from ``seed`` on the one under which the heavy components come nearest to the shares, the first of
+    equals, and the heavy weight it gives to each split."""
+    names = sorted(shares)
+    heavy = weights.where((F.col("weight") >= HEAVY * total) & (F.col("weight") > 0))
+    tried = heavy.crossJoin(F.broadcast(weights.sparkSession.range(seed, seed + seeds).withColumnRenamed("id", "seed")))  # at most seeds / HEAVY rows
+    split = rendezvous(F.col("component"), F.col("seed"), shares)
+    per = tried.groupBy("seed").agg(F.sum("weight").alias("all"), *[F.sum(F.when(split == k, F.col("weight")).otherwise(0.0)).alias(f"w{i}") for i, k in enumerate(names)])
+    off = sum((F.abs(F.col(f"w{i}") - F.col("all") * shares[k]) for i, k in enumerate(names)), F.lit(0.0))
+    best = per.orderBy(F.round(off, 6), "seed").first()
+    return (best["seed"], {k: best[f"w{i}"] for i, k in enumerate(names)}) if best else (seed, dict.fromkeys(names, 0.0))
+
+
+def assign_splits(components: DataFrame, shares: Mapping[str, float], seed: int = 408, seeds: int = SEEDS) -> DataFrame:
     """(component, weight, split) for components with non-negative weights, shares summing to 1.
 
+    Every component is placed by weighted rendezvous hashing under one seed. Unless ``seeds`` is 1, the seed is chosen and the light
+    components are hashed with the shares that the heavy ones leave (`balanced_seed`).
     Null components give no row, null weights count as 0. Equal components are one: their weights are added. The result
     depends on names, weights and seed only. An empty table gives an empty result. Other columns play no part.
     """
     if not shares or min(shares.values()) <= 0 or abs(sum(shares.values()) - 1) > 1e-9:
         raise ValueError("shares must be positive and sum to 1")
     weights = components.where("component is not null").groupBy("component").agg(F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"))
+    if seeds == 1:
+        return weights.withColumn("split", rendezvous(F.col("component"), F.lit(seed).cast("long"), shares))
+    weights = cut_lineage(weights)
     total = weights.agg(F.sum("weight")).first()[0] or 0.0
-    heavy = weights.where((F.col("weight") >= HEAVY * total) & (F.col("weight") > 0)).collect()  # at most 1/HEAVY rows
-    missing, placed = {k: v * total for k, v in shares.items()}, {}
-    for row in sorted(heavy, key=lambda r: (-r.weight, r.component)):
-        placed[row.component] = best = max(missing, key=lambda k: (missing[k], k))
-        missing[best] -= row.weight
-    left = {k: max(v, total * 1e-9) for k, v in missing.items()} if total else dict(shares)
-    uniform = lambda split: (F.pmod(F.xxhash64(F.lit(f"{seed}|{split}"), "component"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    score = [F.struct((-F.log(uniform(k)) / w).alias("s"), F.lit(k).alias("split")) for k, w in sorted(left.items())]
-    hashed = (F.array_min(F.array(*score)))["split"]
-    fixed = F.create_map(*[F.lit(x) for kv in placed.items() for x in kv])[F.col("component")] if placed else F.lit(None).cast("string")
-    return weights.withColumn("split", F.coalesce(fixed, hashed))
+    seed, placed = balanced_seed(weights, shares, total, seed, seeds)
+    left = {k: max(v * total - placed[k], 1e-9 * total) for k, v in shares.items()} if total else dict(shares)
+    by = lambda parts: rendezvous(F.col("component"), F.lit(seed).cast("long"), parts)
+    return weights.withColumn("split", F.when((F.col("weight") >= HEAVY * total) & (F.col("weight") > 0), by(shares)).otherwise(by(left)))
 
 
 def quire_page_edges(pages: DataFrame, words: DataFrame) -> DataFrame:

@@ -125,10 +125,12 @@ def test_splits(spark):
     assert len(got) == 4002 and got["huge"] == ("train", 6000.0) and got["none"][1] == 0
     total = Counter()
     for split, weight in got.values():
-        total[split] += weight / 22000 if False else weight
+        total[split] += weight
     whole = sum(total.values())
     assert all(abs(total[k] / whole - v) < 0.02 for k, v in shares.items())
     assert {r.component: r.split for r in assign_splits(df.repartition(7), shares).collect()} == {k: v[0] for k, v in got.items()}
+    plain = {r.component: r.split for r in assign_splits(df, shares, seeds=1).collect()}
+    assert len(plain) == 4002 and sum(plain[k] == got[k][0] for k in plain) < 4002
     assert assign_splits(df.limit(0), shares).count() == 0
     with pytest.raises(ValueError):
         assign_splits(df, {"train": 0.5})
