@@ -1,9 +1,10 @@
 """Mixing sources to target weights, by Sainte-Lague apportionment.
 
 The total is cut into blocks of equal size, which go to the sources by the highest quotients share / (2 n + 1), never
-more than a source can fill at its cap of uses. Each source's blocks are apportioned in the same way over its shards (hash
-classes of bounded size, so that a source with a third of all records is many shards). A shard uses all its records as
-often as its blocks allow and then, in a seeded order, once more those that fit into what is left.
+more than a source can fill at its cap of uses. Each source's blocks are apportioned in the same way first over bundles of
+shards and then, in a task a bundle, over the shards of the bundle. Shards are hash classes of about ``SHARD_ROWS`` records, so
+that a source with a third of all records is many shards; the driver sees one sum a bundle of ``BUNDLE`` shards. A shard
+uses all its records as often as its blocks allow and then, in a seeded order, once more those that fit into what is left.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from folioscope.session import cut_lineage
 
 BLOCK_TOKENS = 64
-SHARD_ROWS = 20_000
-MAX_SHARDS = 4096
+SHARD_ROWS = 2_000
+BUNDLE = 2_048
 
 
 def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None) -> list[int]:
@@ -76,7 +77,19 @@ def _select(shard: pd.DataFrame) -> pd.DataFrame:
     return shard.loc[shard["repeats"] > 0, ["id", "source", "tokens", "repeats"]]
 
 
-def mix(records: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 408, block: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+def _apportion(block: int, cap_of: dict[str, int]):
+    """Quotas of the shards of one bundle (source, bundle, blocks, shard, all_tokens), at most BUNDLE rows."""
+
+    def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        cap, sums = cap_of[pdf["source"].iloc[0]], [int(x) for x in pdf["all_tokens"]]
+        own = sainte_lague([float(x) for x in sums], int(pdf["blocks"].iloc[0]), [cap * x // block for x in sums])
+        return pd.DataFrame({"source": pdf["source"], "shard": pdf["shard"], "quota": [n * block for n in own], "all_tokens": sums, "cap": cap})
+
+    return apportion
+
+
+def mix(records: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 408, block: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, bundle: int = BUNDLE) -> tuple[DataFrame, DataFrame]:
     """The chosen records (id, source, tokens, repeats) and a report (source, target_share, max_repeats, available,
     quota, reached, reached_share).
 
@@ -85,7 +98,7 @@ def mix(records: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     the others keep their proportions. With it, sources too small for their share give what they can and the others
     make up for it. Records of other or null sources, without an id or without tokens aren't used. Targets with a null source, a share or
     a cap that isn't positive get nothing; repeated sources are an error. Empty tables give empty choices. The table
-    of targets is small by definition: it and at most ``MAX_SHARDS`` sums a source are collected.
+    of targets is small by definition: it and one sum for each ``bundle`` x ``shard_rows`` records are collected.
     """
     wanted = targets.select("source", "target_share", "max_repeats").collect()
     if len({r.source for r in wanted}) != len(wanted):
@@ -94,12 +107,13 @@ def mix(records: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     names = [r.source for r in wanted]
     used = cut_lineage(records.where(F.col("id").isNotNull() & (F.col("tokens") > 0) & F.col("source").isin(names)).select("id", "source", F.col("tokens").cast("long").alias("tokens")))
     rows = {r[0]: r[1] for r in used.groupBy("source").count().collect()}
-    shards = {s: min(MAX_SHARDS, ceil(n / shard_rows)) for s, n in rows.items()}
+    shards = {s: ceil(n / shard_rows) for s, n in rows.items()}
     of_source = F.create_map(*[F.lit(x) for kv in shards.items() for x in kv])[F.col("source")] if shards else F.lit(1)
     used = used.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), of_source.cast("long")))
+    by_shard = cut_lineage(used.groupBy("source", "shard").agg(F.sum("tokens").alias("all_tokens")).withColumn("bundle", F.floor(F.col("shard") / bundle)))
     sums: dict[str, dict[int, int]] = {s: {} for s in names}
-    for r in used.groupBy("source", "shard").agg(F.sum("tokens").alias("t")).collect():
-        sums[r.source][r.shard] = r.t
+    for r in by_shard.groupBy("source", "bundle").agg(F.sum("all_tokens").alias("t")).collect():
+        sums[r.source][r.bundle] = r.t
     available = {s: sum(sums[s].values()) for s in names}
     share = {r.source: r.target_share if (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0 and available[r.source] else 0.0 for r in wanted}
     room = {r.source: available[r.source] * max(r.max_repeats or 0, 0) for r in wanted}
@@ -112,13 +126,11 @@ def mix(records: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     for s in names:
         keys = sorted(sums[s])
         own = sainte_lague([float(sums[s][k]) for k in keys], quota[s], [cap[s] * sums[s][k] // block for k in keys])
-        short = quota[s] - sum(own)
-        plan += [(s, k, int(n * block), sums[s][k], cap[s]) for k, n in zip(keys, own)]
-        if short:
-            quota[s] -= short
+        plan += [(s, k, int(n)) for k, n in zip(keys, own)]
     spark = records.sparkSession
-    quotas = spark.createDataFrame(plan, "source string, shard long, quota long, all_tokens long, cap int")
-    joined = used.join(F.broadcast(quotas), ["source", "shard"]).withColumn("turn", F.xxhash64(F.lit(seed), F.lit("order"), "id"))
+    bundles = spark.createDataFrame(plan, "source string, bundle long, blocks long")  # one row for bundle x shard_rows records
+    quotas = cut_lineage(by_shard.join(F.broadcast(bundles), ["source", "bundle"]).groupBy("source", "bundle").applyInPandas(_apportion(block, cap), "source string, shard long, quota long, all_tokens long, cap int"))
+    joined = used.join(quotas, ["source", "shard"]).withColumn("turn", F.xxhash64(F.lit(seed), F.lit("order"), "id"))
     chosen = joined.groupBy("source", "shard").applyInPandas(_select, "id long, source string, tokens long, repeats int")
     goals = spark.createDataFrame([(r.source, float(r.target_share or 0), int(r.max_repeats or 0), available[r.source], quota[r.source] * block) for r in wanted], "source string, target_share double, max_repeats int, available long, quota long")
     reached = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("reached"))

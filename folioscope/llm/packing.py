@@ -1,8 +1,11 @@
 """Filling containers of fixed capacity, by hierarchical residual packing.
 
 Items fall into groups by a hash, so that groups have like mixtures of sizes. Each group is packed by best fit, largest
-first. Bins that are nearly full are done; the others go on as items, their members kept together, into fewer groups of
-the same bounded size, until one group is left or a round no longer merges bins.
+first. After that at most one bin of a group is half full or less, for two such bins would have been one. Bins that
+are nearly full, or whose room is below the smallest bin left anywhere, are done. The others go on as items, their members kept
+together, in a tree: ``FAN_IN`` groups become one, which takes the emptiest bins of each, never more than ``group_items``
+in all; bins that find no place in it are done as they stand. The tree ends in one group. All items are kept; what may
+be lost is one merge for each bin that didn't go on.
 """
 
 from __future__ import annotations
@@ -16,12 +19,11 @@ from pyspark.sql import functions as F
 
 from folioscope.session import cut_lineage
 
-GROUP_ITEMS = 20_000
+GROUP_ITEMS = 2_000
 NEARLY_FULL = 0.98
-LEAST_GAIN = 0.01
-MAX_ROUNDS = 20
+FAN_IN = 8
 
-_BINS = "container_kind string, capacity int, container string, fill int, members array<struct<item:bigint,piece:int,size:int>>"
+_BINS = "container_kind string, capacity int, container string, fill int, goes_on int, members array<struct<item:bigint,piece:int,size:int>>"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -46,15 +48,15 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(round_no: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _pack(round_no: int, keep: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, group, capacity = pdf["container_kind"].iloc[0], int(pdf["group"].iloc[0]), int(pdf["capacity"].iloc[0])
         rows = sorted(zip(pdf["fill"], pdf["container"], pdf["members"]), key=lambda r: (-r[0], r[1]))
-        made = []
-        for no, bin_ in enumerate(best_fit([int(r[0]) for r in rows], capacity)):
-            members = [m for k in bin_ for m in rows[k][2]]
-            made.append((kind, capacity, f"{kind}-{round_no}-{group}-{no}", sum(int(rows[k][0]) for k in bin_), members))
-        return pd.DataFrame(made, columns=["container_kind", "capacity", "container", "fill", "members"])
+        bins = best_fit([int(r[0]) for r in rows], capacity)
+        fills = [sum(int(rows[k][0]) for k in b) for b in bins]
+        on = {n for n in sorted(range(len(bins)), key=lambda n: (fills[n], n))[:keep] if fills[n] < capacity * NEARLY_FULL}
+        made = [(kind, capacity, f"{kind}-{round_no}-{group}-{n}", fills[n], group if n in on else -1, [m for k in b for m in rows[k][2]]) for n, b in enumerate(bins)]
+        return pd.DataFrame(made, columns=["container_kind", "capacity", "container", "fill", "goes_on", "members"])
 
     return pack
 
@@ -84,26 +86,25 @@ def pack(items: DataFrame, containers: DataFrame, group_items: int = GROUP_ITEMS
     pieces = pieces.select("container_kind", "capacity", "item", "piece", length.alias("fill"))
     bins = pieces.select("container_kind", "capacity", F.concat_ws("-", F.lit("item"), F.lpad(F.col("item").cast("string"), 20, "0"), "piece").alias("container"), "fill", F.array(F.struct("item", "piece", F.col("fill").alias("size"))).alias("members"))
 
-    full = F.col("fill") >= F.ceil(F.col("capacity") * NEARLY_FULL)
-    whole = F.col("fill") == F.col("capacity")
-    bins = cut_lineage(bins)
-    done, open_bins = [bins.where(whole)], bins.where(~whole)
-    left = {r[0]: r[1] for r in open_bins.groupBy("container_kind").count().collect()}
-    for round_no in range(MAX_ROUNDS):
-        if not left:
-            break
-        groups = {k: ceil(n / group_items) for k, n in left.items()}
-        of_kind = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])[F.col("container_kind")]
-        packed = open_bins.withColumn("group", F.pmod(F.xxhash64("container", F.lit(round_no)), of_kind.cast("long"))).groupBy("container_kind", "group").applyInPandas(_pack(round_no), _BINS)
+    bins = cut_lineage(bins.withColumn("goes_on", F.when(F.col("fill") == F.col("capacity"), -1).otherwise(0)).select("container_kind", "capacity", "container", "fill", "goes_on", "members"))
+    done, open_bins = [bins.where("goes_on < 0")], bins.where("goes_on >= 0")
+    groups = {r[0]: ceil(r[1] / group_items) for r in open_bins.groupBy("container_kind").count().collect()}
+    round_no, of_row = 0, F.xxhash64("container")
+    while groups:
+        of_kind = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])[F.col("container_kind")].cast("long")
+        packed = open_bins.withColumn("group", F.pmod(of_row, of_kind)).groupBy("container_kind", "group").applyInPandas(_pack(round_no, max(1, group_items // FAN_IN)), _BINS)
         packed = cut_lineage(packed)
-        counts = {r[0]: (r[1], r[2]) for r in packed.groupBy("container_kind").agg(F.count("*"), F.count_if(~full)).collect()}
-        last = [k for k in left if groups[k] == 1 or (round_no and counts[k][0] > (1 - LEAST_GAIN) * left[k])]
-        over = full | F.col("container_kind").isin(last) if last else full
-        done.append(packed.where(over))
-        open_bins = packed.where(~over)
-        left = {k: counts[k][1] for k in left if k not in last and counts[k][1]}
-    else:
-        done.append(open_bins)
+        last = [k for k, n in groups.items() if n == 1]
+        left = packed.where(F.col("goes_on") >= 0).where(~F.col("container_kind").isin(last)) if last else packed.where("goes_on >= 0")
+        least = {r[0]: r[1] for r in left.groupBy("container_kind").agg(F.min("fill")).collect()}
+        # The smallest bin itself goes on; a bin whose room is below it can take no other.
+        on = F.lit(False)
+        for kind, size in least.items():
+            on = on | ((F.col("container_kind") == kind) & (F.col("goes_on") >= 0) & (F.col("capacity") - F.col("fill") >= size))
+        done.append(packed.where(~on))
+        open_bins = packed.where(on)
+        groups = {k: ceil(n / FAN_IN) for k, n in groups.items() if k in least}
+        round_no, of_row = round_no + 1, F.col("goes_on").cast("long")
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)

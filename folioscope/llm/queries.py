@@ -87,12 +87,20 @@ def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("collection", "n", F.array_join("ngram", " ").alias("term"), "occurrences", "records")
 
 
+def _restored(spark: SparkSession, sf_dir: str, spans_only: bool) -> DataFrame:
+    corpus = table(spark, sf_dir, "corpus").select(F.col("corpus_id").alias("id"), F.substring_index("name", "_", 1).alias("lang"), "source", "words")
+    words = corpus.select("id", "lang", F.lit("words").alias("field"), F.posexplode("words").alias("pos", "value"))
+    paths = corpus.select("id", "lang", F.lit("source").alias("field"), F.lit(-1).alias("pos"), F.col("source").alias("value"))
+    return mojibake.restore(words.unionByName(paths), corpus.select("id", "lang"), spans_only=spans_only).toDF("corpus_id", "field", "pos", "restored")
+
+
+def p5_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded multibyte spans alone, over the whole table."""
+    return _restored(spark, sf_dir, True)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = once(table(spark, sf_dir, "corpus"), "corpus_id", "name", "source", "words")
-    lang = F.substring_index("name", "_", 1).alias("lang")
-    words = corpus.select("corpus_id", lang, F.lit("words").alias("field"), F.posexplode("words").alias("pos", "value"))
-    paths = corpus.select("corpus_id", lang, F.lit("source").alias("field"), F.lit(-1).alias("pos"), F.col("source").alias("value"))
-    return mojibake.restore(words.unionByName(paths).withColumnRenamed("corpus_id", "id")).toDF("corpus_id", "field", "pos", "restored")
+    return _restored(spark, sf_dir, False)
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +112,15 @@ def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items, table(spark, sf_dir, "container_spec")).withColumnRenamed("item", "doc_id")
 
 
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the least number that could hold all tokens, and the share of room that is filled, by kind."""
+    packed = p6_pack(spark, sf_dir)
+    bins = packed.groupBy("container_kind", "container").agg(F.sum("size").alias("fill"))
+    spec = table(spark, sf_dir, "container_spec").select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity"))
+    per = bins.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("fill").alias("tokens"), F.max("fill").alias("fullest")).join(F.broadcast(spec), "container_kind")
+    return per.select("container_kind", "capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("filled"))
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_target"))[0].withColumnRenamed("id", "doc_id")
 
@@ -128,7 +145,7 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p2_shares": p2_shares, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p6_pack": p6_pack, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p2_shares": p2_shares, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_method": p5_method, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages}
 _TERMS = """WITH c0 AS (SELECT DISTINCT ON (corpus_id) corpus_id, words FROM corpus ORDER BY corpus_id), s0 AS (SELECT DISTINCT ON (rec_id) rec_id, page, word FROM sequence_record ORDER BY rec_id),
 raw AS (SELECT 'corpus' AS collection, CAST(corpus_id AS VARCHAR) AS record, unnest(words) AS w FROM c0 UNION ALL SELECT 'sequence_record', coalesce(page, ''), word FROM s0),
 term AS (SELECT collection, record, lower(trim(nfc_normalize(w), ' ')) AS term FROM raw WHERE w IS NOT NULL),

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Where no path is given: the setting of this name, else this file.
+SETTING = "spark.folioscope.tokenizer"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the pre-tokenizer pattern that belongs to the byte-level vocabularies.
@@ -27,11 +29,12 @@ def _encoding(data: bytes):
     return _made[key]
 
 
-def token_sizes(texts: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_sizes(texts: DataFrame, id_col: str, text_col: str, tokenizer: str | None = None) -> DataFrame:
     """``texts`` with ``tokens`` in place of the text: its length in tokens, 0 for null and empty texts.
 
     The vocabulary file (under 1 MB) is read on the driver and broadcast, so no executor needs it.
     """
+    tokenizer = tokenizer or texts.sparkSession.conf.get(SETTING, TOKENIZER)
     shared = texts.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     kept = [f for f in texts.schema.fields if f.name != text_col]
 

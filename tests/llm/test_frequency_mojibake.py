@@ -53,6 +53,10 @@ def test_span_decoding():
     assert decode_spans("À\u0080 í \u0080", "cp1252") == "À\u0080 í \u0080"  # overlong, surrogate
     assert reread("lÍi", "mac_roman", "cp1252") == "lêi" and reread("ł", "mac_roman", "cp1252") is None
     assert ("véer" in {t for _, t in readings("vÃƒÂ©er")}) and not list(readings("abc"))
+    deep = "véer"
+    for _ in range(5):
+        deep = "".join(bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in deep.encode())
+    assert "véer" in {t for _, t in readings(deep)}  # damage of any depth
     assert oddness("vertÈre", {"è"}) == 1 and oddness("VERTÈRE", {"è"}) == 0
 
 
@@ -67,8 +71,10 @@ def test_restore(spark):
               (101, "fr", "words", 0, mac("véer")), (101, "fr", "words", 1, mac("plagéne")), (101, "fr", "words", 2, "Âge"), (101, "fr", "words", 3, mac("çàrt")), (101, "fr", "words", 4, "monç"),
               (102, "fr", "words", 0, "v�er"), (102, "fr", "words", 1, None), (102, "fr", "words", 2, ""), (102, "fr", "words", 3, utf(utf("rivàe").replace("\xa0", "\xa0"))), (None, "fr", "words", 0, utf("véer")), (103, None, "words", 0, "ÿ" * 20000)]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows + broken], "id long, lang string, field string, pos int, value string, h int, restored string")
-    got = {(r.id, r.field, r.pos): r.restored for r in restore(df).collect()}
+    got = {(r.id, r.field, r.pos): r.restored for r in restore(df, df).collect()}
     want = {(100, "words", 0): "véer", (100, "words", 2): "þorn", (100, "words", 3): "çàx", (100, "source", -1): "x/dé.txt", (101, "words", 0): "véer", (101, "words", 1): "plagéne", (101, "words", 3): "çàrt", (102, "words", 0): "", (102, "words", 3): "rivàe"}
     assert got == want
-    assert restore(df.limit(0)).count() == 0
+    spans = {(r.id, r.field, r.pos): r.restored for r in restore(df, df, spans_only=True).collect()}
+    assert spans == {k: v for k, v in want.items() if k[0] != 101 and v}
+    assert restore(df.limit(0), df).count() == 0
     assert unicodedata.normalize("NFC", got[100, "words", 0]) == "véer"

@@ -79,6 +79,12 @@ def test_mixing(spark):
     for s, share in (("big", 5 / 9), ("mid", 3 / 9), ("small", 1 / 9), ("absent", 0)):
         assert abs(shares[s].reached_share - share) < 0.01
         assert shares[s].reached == sum(r.tokens * r.repeats for r in got if r.source == s)
+    many, _ = mix(records, targets, shard_rows=10, bundle=7)  # 300 shards in 43 bundles
+    reached = Counter()
+    for r in many.collect():
+        reached[r.source] += r.tokens * r.repeats
+        assert 0 < r.repeats <= cap[r.source]
+    assert all(abs(reached[s] / sum(reached.values()) - share) < 0.05 for s, share in (("big", 5 / 9), ("mid", 3 / 9), ("small", 1 / 9)))
     _, report = mix(records, targets, total_tokens=60_000)
     shares = {r.source: r for r in report.collect()}
     assert shares["small"].reached <= 8 * shares["small"].available and 55_000 < sum(r.reached for r in shares.values()) <= 60_000
