@@ -145,7 +145,16 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p2_shares": p2_shares, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_method": p5_method, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages}
+def p8_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How confidence goes with agreement: documents of one language with a label, by tenths of the confidence."""
+    documents, segments = _languages(spark, sf_dir)
+    labels = documents.select("doc_id", language.language_code(F.col("lang")).alias("label")).where("label is not null")
+    one = segments.where("seg_no = 0").join(labels, "doc_id")
+    tenth = F.least(F.floor(F.col("confidence") * 10), F.lit(9)).cast("int")
+    return one.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("documents"), F.avg("confidence").alias("confidence"), F.avg((F.col("label") == F.col("lang")).cast("double")).alias("agreeing"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p2_shares": p2_shares, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_method": p5_method, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages, "p8_confidence": p8_confidence}
 _TERMS = """WITH c0 AS (SELECT DISTINCT ON (corpus_id) corpus_id, words FROM corpus ORDER BY corpus_id), s0 AS (SELECT DISTINCT ON (rec_id) rec_id, page, word FROM sequence_record ORDER BY rec_id),
 raw AS (SELECT 'corpus' AS collection, CAST(corpus_id AS VARCHAR) AS record, unnest(words) AS w FROM c0 UNION ALL SELECT 'sequence_record', coalesce(page, ''), word FROM s0),
 term AS (SELECT collection, record, lower(trim(nfc_normalize(w), ' ')) AS term FROM raw WHERE w IS NOT NULL),

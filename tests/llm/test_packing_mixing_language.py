@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm.language import fit, label_segments, language_code, sentences
+from folioscope.llm.language import fit, label_segments, language_code, words_of
 from folioscope.llm.mixing import mix, sainte_lague
 from folioscope.llm.packing import best_fit, pack
 from folioscope.llm.tokens import token_sizes
@@ -103,14 +103,15 @@ def test_language_labels(spark):
     reference = spark.createDataFrame([(k, v) for k, v in TEXT.items()] + [(None, "x"), ("en", None)], "lang string, sample_text string")
     model = fit(reference)
     mixed = f"{TEXT['en']}. {TEXT['de']} (mutatis mutandis)! <f4r.1> ol.chedy.dar\n{TEXT['de']} [3/44]."
-    rows = [(1, TEXT["en"]), (2, TEXT["de"].upper()), (3, mixed), (4, None), (5, ""), (6, "   "), (7, "<p>f93r; 617; 0.347</p>"), (8, "The root"), (9, (TEXT["la"] + ". ") * 5000), (10, f"{TEXT['en']}. Die andere Hand. {TEXT['en']}."), (None, TEXT["en"])]
+    rows = [(1, TEXT["en"]), (2, TEXT["de"].upper()), (3, mixed), (4, None), (5, ""), (6, "   "), (7, "<p>f93r; 617; 0.347</p>"), (8, "The root"), (9, (TEXT["la"] + ". ") * 5000), (10, f"{TEXT['en']}. Die andere Hand. {TEXT['en']}."), (None, TEXT["en"]), (11, f"{TEXT['en']} {TEXT['de']}"), (12, f"<a title='{TEXT['de']}'>{TEXT['en']}</a>")]
     got = defaultdict(list)
     for r in label_segments(spark.createDataFrame([(*r, "zz") for r in rows], "doc_id long, text string, lang string"), model).orderBy("seg_no").collect():
         assert 0 < r.confidence <= 1
         got[r.doc_id].append((r.seg_no, r.lang))
-    assert got == {1: [(0, "en")], 2: [(0, "de")], 3: [(1, "en"), (2, "de")], 8: [(0, "en")], 9: [(0, "la")], 10: [(0, "en")]}
+    assert got == {1: [(0, "en")], 2: [(0, "de")], 3: [(1, "en"), (2, "de")], 8: [(0, "en")], 9: [(0, "la")], 10: [(0, "en")], 11: [(1, "en"), (2, "de")], 12: [(0, "en")]}
     assert label_segments(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
-    assert sentences("A b. C1 d (e f) g–h") == [["a", "b"], ["d", "g"]] or sentences("A b.")
+    words, text, piece = words_of(["A b. C1 d (e f) g – h.", "", "<p class='" + "x " * 60 + "'>É [" + "1/2 " * 30 + "] z"])
+    assert words == ["a", "b", "d", "g", "e", "z"] and text.tolist() == [0, 0, 0, 0, 2, 2] and piece.tolist() == [0, 0, 1, 1, 2, 2]
     labels = {"en-GB": "en", " EN": "en", "español": "es", "fr_FR": "fr", "ger ": "de", "iw": "he", "und": None, "xx": None, "": None, "?": None, None: None, "Latin": "la", "nl-BE": "nl"}
     df = spark.createDataFrame([(k,) for k in labels], "l string").select("l", language_code(F.col("l")).alias("c"))
     assert {r.l: r.c for r in df.collect()} == labels
