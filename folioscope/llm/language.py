@@ -203,10 +203,12 @@ def label_segments(documents: DataFrame, model: Model) -> DataFrame:
         own = Model.__new__(Model).prepare(languages, shared.value)
         for pdf in batches:
             found = own.label_all(pdf["text"].tolist())
-            owner = np.array([s[0] for s in found], int)
-            new = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
-            place = np.arange(len(owner)) - np.maximum.accumulate(np.where(new, np.arange(len(owner)), 0)) + 1 if len(owner) else owner
-            alone = np.bincount(owner, minlength=len(pdf))[owner] == 1 if len(owner) else new
+            if not found:
+                continue
+            owner = np.array([s[0] for s in found])
+            new = np.append(True, owner[1:] != owner[:-1])
+            place = np.arange(len(owner)) - np.maximum.accumulate(np.where(new, np.arange(len(owner)), 0)) + 1
+            alone = np.bincount(owner)[owner] == 1
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[owner], "seg_no": np.where(alone, 0, place), "lang": [s[1] for s in found], "confidence": [s[2] for s in found], "words": [s[3] for s in found]})
 
     shared = documents.sparkSession.sparkContext.broadcast(logs)
