@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranking import ranked_rows
+
 
 def md5_order(seed: int, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]))
@@ -25,19 +27,15 @@ def shuffle_arrays(df: DataFrame, column: str, seed: int, keys: Sequence[str]) -
 
 
 def shuffle_within(df: DataFrame, columns: Sequence[str], strata: Sequence[str], slot: Sequence[str], seed: int, salt: str = "") -> DataFrame:
-    """``columns`` permuted among the rows of each stratum: slot rank meets hash rank in one sort of the stratum.
+    """``columns`` permuted among the rows of each stratum: the row of slot rank k gets the values of hash rank k.
 
-    Both ranks are row numbers of one window partition; strata should hold a perm or corpus key so that none is the
-    whole table. Null strata values form strata of their own.
+    Both ranks come from range partitions (`ranked_rows`), so strata may be of any size. Null strata values form strata of their own.
     """
-    part = Window.partitionBy(*strata)
-    ranked = df.withColumn("_slot", F.row_number().over(part.orderBy(*slot))).withColumn("_hash", F.row_number().over(part.orderBy(md5_order(seed, F.lit(salt), *slot), *slot)))
-    source = ranked.select(*[F.col(s).alias(f"_s{k}") for k, s in enumerate(strata)], F.col("_hash").alias("_slot2"), *[F.col(c).alias(f"_new_{c}") for c in columns])
-    on = [F.col(s).eqNullSafe(F.col(f"_s{k}")) for k, s in enumerate(strata)] + [F.col("_slot") == F.col("_slot2")]
-    joined = ranked.join(source, on)
-    for c in columns:
-        joined = joined.withColumn(c, F.col(f"_new_{c}"))
-    return joined.select(*df.columns)
+    slots = ranked_rows(df, strata, slot, "_k")
+    source = ranked_rows(df, strata, [md5_order(seed, F.lit(salt), *slot), *slot], "_k")
+    source = source.select(*[F.col(s).alias(f"_s{k}") for k, s in enumerate(strata)], F.col("_k").alias("_h"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    joined = slots.join(source, [F.col(s).eqNullSafe(F.col(f"_s{k}")) for k, s in enumerate(strata)] + [F.col("_k") == F.col("_h")])
+    return joined.select(*[F.col(f"_new_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def permutation_summary(df: DataFrame, metric: str, by: Sequence[str] = (), alternative: str = "greater") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.operators import resample
+from folioscope.operators.ranking import ranked_rows
 
 
 def shapes(words: DataFrame, keep: Sequence[str], grouped: bool = False) -> DataFrame:
@@ -47,9 +48,8 @@ def ranked(df: DataFrame, target: Sequence[str], name: str) -> DataFrame:
 def sample_words(words: DataFrame, group: Sequence[str], size: int, trials: int, seed: int, order: Sequence[str]) -> DataFrame:
     """``size`` words of each group without replacement in every trial, the first in md5 order; smaller groups fall out."""
     rows = words.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    w = Window.partitionBy("trial", *group)
-    rows = rows.withColumn("_r", F.row_number().over(w.orderBy(resample.md5_order(seed, "trial", *group, *order), *order)))
-    return rows.withColumn("_n", F.count("*").over(w)).where((F.col("_r") <= size) & (F.col("_n") >= size)).drop("_r", "_n")
+    picked = ranked_rows(rows, ["trial", *group], [resample.md5_order(seed, "trial", *group, *order), *order], "_r", "_n")
+    return picked.where((F.col("_r") < size) & (F.col("_n") >= size)).drop("_r", "_n")
 
 
 def pseudo_word(pattern: Column, key: Column) -> Column:

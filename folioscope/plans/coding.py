@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.operators import coders, resample, residual, stats, tokens
 from folioscope.plans.common import CORPORA_SQL, SEED, UNITS_SQL, corpora, page_lines, token_facts, with_pages
+from folioscope.session import cut_lineage
 from folioscope.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -43,11 +46,13 @@ def shuffled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.shuffle_arrays(resample.permutations(tokens.line_rows(page_lines(spark, sf_dir)).select("seq_id", "ln", "n", "ws"), P), "ws", SEED, ["seq_id", "ln"])
 
 
-@query(rest(f"{_SHUFFLED}\nSELECT perm, md5(string_agg(w, '/' ORDER BY seq_id, ln)) AS digest FROM (SELECT perm, seq_id, ln, string_agg(word, ' ' ORDER BY wi) AS w FROM sh GROUP BY ALL) WHERE seq_id <= 50 OR TRUE GROUP BY perm").replace(" WHERE seq_id <= 50 OR TRUE", ""))
+@query(rest(f"{_SHUFFLED}\nSELECT perm, seq_id, md5(string_agg(w, '/' ORDER BY ln)) AS digest FROM (SELECT perm, seq_id, ln, string_agg(word, ' ' ORDER BY wi) AS w FROM sh GROUP BY ALL) GROUP BY perm, seq_id"))
 def within_line_shuffle(spark, sf_dir):
-    lines = shuffled_lines(spark, sf_dir)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq_id", "ln", F.array_join("ws", " ").alias("w")))), lambda x: x["w"])
-    return lines.groupBy("perm").agg(F.md5(F.array_join(parts, "/")).alias("digest"))
+    """Digest of each page under each shuffle; the lines of a page never leave its row."""
+    pages = resample.permutations(page_lines(spark, sf_dir).select("seq_id", "lines"), P)
+    key = lambda ln, i: F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("perm").cast("string"), F.col("seq_id").cast("string"), ln.cast("string"), i.cast("string")))
+    order = lambda ws, ln: F.transform(F.array_sort(F.transform(ws, lambda w, i: F.struct(F.when(F.col("perm") == 0, "").otherwise(key(ln, i)).alias("h"), i.alias("i"), w.alias("w")))), lambda y: y["w"])
+    return pages.select("perm", "seq_id", F.md5(F.array_join(F.transform("lines", lambda ws, ln: F.array_join(order(ws, ln), " ")), "/")).alias("digest"))
 
 
 _SUMMARY = """SELECT round(max(v) FILTER (perm = 0), 6) AS observed, round(avg(v) FILTER (perm > 0), 6) AS null_mean, round(stddev_samp(v) FILTER (perm > 0), 6) AS null_std, round((max(v) FILTER (perm = 0) - avg(v) FILTER (perm > 0)) / stddev_samp(v) FILTER (perm > 0), 3) AS z,
@@ -72,10 +77,11 @@ _TOP = "top AS (SELECT word FROM tok GROUP BY word ORDER BY count(*) DESC, min((
 def perm_test_adjacent_mi(spark, sf_dir):
     """Mutual information of neighbours with the 100 most frequent words, against words shuffled within lines."""
     top = stats.top_words(token_facts(spark, sf_dir), 100, ["seq_id", "ln", "wi"])
-    known = F.broadcast(top.agg(F.collect_set("word").alias("known")))  # 100 words
-    lines = shuffled_lines(spark, sf_dir).crossJoin(known)
-    cw = F.transform("ws", lambda w: F.when(F.array_contains("known", w), w).otherwise(text.OTHER))
-    lines = lines.select("perm", cw.alias("ws"))
+    known = F.broadcast(top.agg(F.map_from_entries(F.collect_list(F.struct("word", F.lit(True)))).alias("known")))  # 100 words
+    lines = tokens.line_rows(page_lines(spark, sf_dir)).select("seq_id", "ln", "ws").crossJoin(known)
+    # Words are collapsed before the shuffles are made: their order doesn't depend on the word.
+    cw = F.transform("ws", lambda w: F.when(F.col("known")[w], w).otherwise(text.OTHER))
+    lines = resample.shuffle_arrays(resample.permutations(lines.select("seq_id", "ln", cw.alias("ws")), P), "ws", SEED, ["seq_id", "ln"])
     pairs = lines.select("perm", F.inline(F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.size("ws")), lambda a, b: F.struct(a.alias("x"), b.alias("y")))))
     return _summary(stats.mutual_information(pairs, "x", "y", ["perm"]), "mi")
 
@@ -87,12 +93,53 @@ def perm_test_line_position(spark, sf_dir):
     return _summary(stats.mutual_information(tokens.collapse(rows.select("perm", "word", text.line_position(F.col("wi"), F.col("n")).alias("position")), "word", top), "word", "position", ["perm"]), "mi")
 
 
-@query(rest(f"{_SHUFFLED},\npv AS (SELECT perm, word, lag(word) OVER (PARTITION BY perm, seq_id, ln ORDER BY wi) AS prev FROM sh),\nrt AS (SELECT perm, avg(CASE WHEN prev = word THEN 1.0 ELSE 0.0 END) AS exact_rate, avg(CASE WHEN levenshtein(prev, word) = 1 THEN 1.0 ELSE 0.0 END) AS edit1_rate FROM pv WHERE prev IS NOT NULL GROUP BY perm)\nSELECT perm, round(exact_rate, 6) AS exact_rate, round(edit1_rate, 6) AS edit1_rate FROM rt"))
+_METRICS = f"""{_SHUFFLED},
+{_TOP},
+co AS (SELECT s.*, CASE WHEN v.word IS NULL THEN '<OTHER>' ELSE s.word END AS cw, lag(s.word) OVER l AS w1, lag(s.word, 2) OVER l AS w2, lag(s.word, 3) OVER l AS w3 FROM sh s LEFT JOIN top v ON s.word = v.word WINDOW l AS (PARTITION BY perm, seq_id, ln ORDER BY wi)),
+lg AS (SELECT *, lag(cw) OVER (PARTITION BY perm, seq_id, ln ORDER BY wi) AS cp, CASE WHEN n = 1 THEN 'single' WHEN wi = 0 THEN 'first' WHEN wi = n - 1 THEN 'last' ELSE 'middle' END AS position FROM co),
+ja AS (SELECT perm, cp, cw, count(*) AS c FROM lg WHERE cp IS NOT NULL GROUP BY ALL), ma AS (SELECT *, sum(c) OVER (PARTITION BY perm) AS t, sum(c) OVER (PARTITION BY perm, cp) AS cx, sum(c) OVER (PARTITION BY perm, cw) AS cy FROM ja),
+jp AS (SELECT perm, position, cw, count(*) AS c FROM lg GROUP BY ALL), mp AS (SELECT *, sum(c) OVER (PARTITION BY perm) AS t, sum(c) OVER (PARTITION BY perm, position) AS cx, sum(c) OVER (PARTITION BY perm, cw) AS cy FROM jp),
+am AS (SELECT perm, sum(c / t * log2(c * t / (CAST(cx AS DOUBLE) * cy))) AS adjacent_mi FROM ma GROUP BY perm), qm AS (SELECT perm, sum(c / t * log2(c * t / (CAST(cx AS DOUBLE) * cy))) AS position_mi FROM mp GROUP BY perm),
+rt AS (SELECT perm, avg(CASE WHEN w1 = word THEN 1.0 ELSE 0.0 END) AS exact_rate, avg(CASE WHEN levenshtein(w1, word) = 1 THEN 1.0 ELSE 0.0 END) AS edit1_rate FROM co WHERE w1 IS NOT NULL GROUP BY perm),
+gr AS (SELECT perm, 2 AS ord, w1 || ' ' || word AS g FROM co UNION ALL SELECT perm, 3, w2 || ' ' || w1 || ' ' || word FROM co UNION ALL SELECT perm, 4, w3 || ' ' || w2 || ' ' || w1 || ' ' || word FROM co),
+rp AS (SELECT perm, ord, sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n) AS rate FROM (SELECT perm, ord, g, count(*) AS n FROM gr WHERE g IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+rw AS (SELECT perm, max(rate) FILTER (ord = 2) AS repeated_2, max(rate) FILTER (ord = 3) AS repeated_3, max(rate) FILTER (ord = 4) AS repeated_4 FROM rp GROUP BY perm),
+mt AS (SELECT perm, adjacent_mi, position_mi, exact_rate, edit1_rate, repeated_2, repeated_3, repeated_4 FROM rt JOIN am USING (perm) JOIN qm USING (perm) JOIN rw USING (perm))"""
+METRICS = ("adjacent_mi", "position_mi", "exact_rate", "edit1_rate", "repeated_2", "repeated_3", "repeated_4")
+
+
+def structure_metrics(lines: DataFrame, top: DataFrame) -> DataFrame:
+    """(perm, the seven metrics) of lines (perm, n, ws): two mutual informations over the words of ``top``, two rates of neighbours, three of n-grams."""
+    known = F.broadcast(top.agg(F.map_from_entries(F.collect_list(F.struct("word", F.lit(True)))).alias("known")))
+    cw = F.transform("ws", lambda w: F.when(F.col("known")[w], w).otherwise(text.OTHER))
+    lines = lines.crossJoin(known).select("perm", "n", "ws", cw.alias("cs"))
+    beside = lambda a, x, y: F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a)), lambda p, q: F.struct(p.alias(x), q.alias(y)))
+    parts = [
+        stats.mutual_information(lines.select("perm", F.inline(beside("cs", "x", "y"))), "x", "y", ["perm"]).select("perm", F.col("mi").alias("adjacent_mi")),
+        stats.mutual_information(lines.select("perm", "n", F.posexplode("cs").alias("wi", "w")).select("perm", "w", text.line_position(F.col("wi"), F.col("n")).alias("p")), "w", "p", ["perm"]).select("perm", F.col("mi").alias("position_mi")),
+        stats.adjacency_rates(lines.select("perm", F.inline(beside("ws", "prev_word", "word"))), ["perm"]).drop("pairs"),
+        stats.repeated_ngram_rates(lines, "ws", (2, 3, 4), ["perm"]).groupBy("perm").agg(*[F.max(F.when(F.col("ord") == k, F.col("rate"))).alias(f"repeated_{k}") for k in (2, 3, 4)]),
+    ]
+    return reduce(lambda a, b: a.join(b, "perm"), parts).select("perm", *METRICS)
+
+
+@query(rest(_METRICS + "\nSELECT perm, " + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM mt"))
 def structure_null(spark, sf_dir):
-    """Repeat and one-edit rates of neighbours, observed and for each shuffle."""
-    lines = shuffled_lines(spark, sf_dir)
-    pairs = lines.select("perm", F.inline(F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.size("ws")), lambda a, b: F.struct(a.alias("prev_word"), b.alias("word")))))
-    return rounded(stats.adjacency_rates(pairs, ["perm"]).drop("pairs"), "exact_rate", "edit1_rate")
+    """The seven metrics, observed and for each shuffle within lines: one shuffle serves all of them."""
+    top = stats.top_words(token_facts(spark, sf_dir), 100, ["seq_id", "ln", "wi"])
+    return rounded(structure_metrics(shuffled_lines(spark, sf_dir), top), *METRICS)
+
+
+@query(rest(_METRICS + ",\nlo AS (UNPIVOT mt ON " + ", ".join(METRICS) + """ INTO NAME metric VALUE v), ob AS (SELECT metric, v AS o FROM lo WHERE perm = 0), nl AS (SELECT metric, avg(v) AS m, count(*) AS k FROM lo WHERE perm > 0 GROUP BY metric)
+SELECT lo.metric, round(any_value(o), 6) AS observed, round(any_value(m), 6) AS null_mean, round((count(*) FILTER (perm > 0 AND round(v, 10) >= round(o, 10)) + 1) / (any_value(k) + 1.0), 6) AS p_greater, round((count(*) FILTER (perm > 0 AND round(v, 10) <= round(o, 10)) + 1) / (any_value(k) + 1.0), 6) AS p_less
+ FROM lo JOIN ob USING (metric) JOIN nl USING (metric) GROUP BY lo.metric"""))
+def structure_test(spark, sf_dir):
+    """Each of the seven metrics against its null, in both directions."""
+    top = stats.top_words(token_facts(spark, sf_dir), 100, ["seq_id", "ln", "wi"])
+    wide = cut_lineage(structure_metrics(shuffled_lines(spark, sf_dir), top))
+    rows = wide.select("perm", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 10).alias("v")) for m in METRICS])))
+    sides = [resample.permutation_summary(rows, "v", ["metric"], a).select("metric", F.round("observed", 6).alias("observed"), F.round("null_mean", 6).alias("null_mean"), F.round("p", 6).alias(f"p_{a}")) for a in ("greater", "less")]
+    return sides[0].join(sides[1].select("metric", "p_less"), "metric")
 
 
 @query("WITH " + CORPORA_SQL.strip() + f""",

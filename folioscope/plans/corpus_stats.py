@@ -134,18 +134,19 @@ def line_positions(spark, sf_dir):
     return token_facts(spark, sf_dir).groupBy("currier", "position").agg(F.count("*").alias("n"))
 
 
-@query("""WITH l0 AS (SELECT DISTINCT ON (locus_no) locus_no, page, paragraph_start, paragraph_end, raw_text FROM locus WHERE transcriber = 'H' AND raw_text <> '' ORDER BY locus_no),
-i AS (SELECT *, sum(CASE WHEN paragraph_start OR prev_end THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY locus_no) AS island FROM (SELECT *, coalesce(lag(paragraph_end) OVER (PARTITION BY page ORDER BY locus_no), false) AS prev_end FROM l0))
-SELECT locus_no, page, k AS paragraph_line, (CASE WHEN k < 3 THEN CAST(k AS VARCHAR) ELSE '3+' END) || ':' || (CASE WHEN paragraph_end THEN 'end' ELSE 'open' END) AS state FROM (SELECT *, row_number() OVER (PARTITION BY page, island ORDER BY locus_no) - 1 AS k FROM i)""")
+@query("""WITH l0 AS (SELECT DISTINCT ON (locus_no) locus_no, page, coalesce(transcriber, '') AS hand, paragraph_start, paragraph_end FROM locus WHERE certain_tokens <> '' ORDER BY locus_no),
+i AS (SELECT *, sum(CASE WHEN paragraph_start OR prev_end THEN 1 ELSE 0 END) OVER (PARTITION BY page, hand ORDER BY locus_no) AS island FROM (SELECT *, coalesce(lag(paragraph_end) OVER (PARTITION BY page, hand ORDER BY locus_no), false) AS prev_end FROM l0))
+SELECT locus_no, page, k AS paragraph_line, (CASE WHEN k < 3 THEN CAST(k AS VARCHAR) ELSE '3+' END) || ':' || (CASE WHEN paragraph_end THEN 'end' ELSE 'open' END) AS state FROM (SELECT *, row_number() OVER (PARTITION BY page, hand, island ORDER BY locus_no) - 1 AS k FROM i)""")
 def paragraph_structure(spark, sf_dir):
-    """Running line of a paragraph: a counter that starts again at a start mark or after an end mark, as islands."""
+    """Running line of a paragraph, for each hand: a counter that starts again at a start mark or after an end mark, as islands.
+    Lines without certain words don't count."""
     from pyspark.sql import Window
 
-    loci = once(table(spark, sf_dir, "locus").where("transcriber = 'H' and raw_text <> ''"), "locus_no", "page", "paragraph_start", "paragraph_end")
-    w = Window.partitionBy("page").orderBy("locus_no")
+    loci = once(table(spark, sf_dir, "locus").where("certain_tokens <> ''"), "locus_no", "page", "transcriber", "paragraph_start", "paragraph_end").withColumn("hand", F.coalesce("transcriber", F.lit("")))
+    w = Window.partitionBy("page", "hand").orderBy("locus_no")
     begin = F.col("paragraph_start") | F.coalesce(F.lag("paragraph_end").over(w), F.lit(False))
     i = loci.withColumn("island", F.sum(begin.cast("int")).over(w))
-    k = F.row_number().over(Window.partitionBy("page", "island").orderBy("locus_no")) - 1
+    k = F.row_number().over(Window.partitionBy("page", "hand", "island").orderBy("locus_no")) - 1
     return i.withColumn("k", k).select("locus_no", "page", F.col("k").cast("long").alias("paragraph_line"), text.paragraph_state(F.col("k"), F.col("paragraph_end")).alias("state"))
 
 
@@ -156,11 +157,11 @@ def char_ngrams(spark, sf_dir):
     return n.select("n", F.inline(each)).select("ord", F.explode("g").alias("ngram"), "n").groupBy("ord", "ngram").agg(F.sum("n").alias("n")).where("n > 2")
 
 
-@query(with_pages("""SELECT ord, ngram, count(*) AS n FROM (SELECT 2 AS ord, word || ' ' || lead(word) OVER w AS ngram FROM tok WINDOW w AS (PARTITION BY seq_id ORDER BY ln, wi) UNION ALL SELECT 3, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w FROM tok WINDOW w AS (PARTITION BY seq_id ORDER BY ln, wi)) WHERE ngram IS NOT NULL GROUP BY ALL HAVING count(*) > 2"""))
+@query(with_pages("""SELECT ord, ngram, count(*) AS n FROM (SELECT o.ord, CASE o.ord WHEN 1 THEN word WHEN 2 THEN word || ' ' || a WHEN 3 THEN word || ' ' || a || ' ' || b WHEN 4 THEN word || ' ' || a || ' ' || b || ' ' || c ELSE word || ' ' || a || ' ' || b || ' ' || c || ' ' || d END AS ngram FROM (SELECT word, lead(word) OVER w AS a, lead(word, 2) OVER w AS b, lead(word, 3) OVER w AS c, lead(word, 4) OVER w AS d FROM tok WINDOW w AS (PARTITION BY seq_id ORDER BY ln, wi)), (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS ord) o) WHERE ngram IS NOT NULL GROUP BY ALL HAVING count(*) > 2"""))
 def word_ngrams(spark, sf_dir):
-    """Word n-grams over the words of a page read on across line ends."""
+    """Word n-grams of orders 1 to 5 over the words of a page read on across line ends."""
     flat = page_lines(spark, sf_dir).select(F.flatten("lines").alias("w"))
-    return stats.ngram_rows(flat, "w", (2, 3)).groupBy("ord", "ngram").agg(F.count("*").alias("n")).where("n > 2")
+    return stats.ngram_rows(flat, "w", (1, 2, 3, 4, 5)).groupBy("ord", "ngram").agg(F.count("*").alias("n")).where("n > 2")
 
 
 @query(with_pages("""SELECT a.g AS first, b.g AS second, CAST(sum(a.n) AS BIGINT) AS n FROM (SELECT word, n, unnest(list_distinct(list_transform(range(0, length(word) - 1), lambda i: substring(word, i + 1, 2)))) AS g FROM (SELECT word, count(*) AS n FROM tok GROUP BY word) WHERE length(word) > 1) a
@@ -248,8 +249,8 @@ def adjacency_rates(spark, sf_dir):
     return stats.adjacency_rates(token_facts(spark, sf_dir), ["currier"]).select("currier", "pairs", r6(F.col("exact_rate"), "exact_rate"), r6(F.col("edit1_rate"), "edit1_rate"))
 
 
-_NG = """ng AS (SELECT currier, 2 AS ord, word || ' ' || lead(word) OVER w AS g FROM tok WINDOW w AS (PARTITION BY seq_id, ln ORDER BY wi) UNION ALL SELECT currier, 3, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w FROM tok WINDOW w AS (PARTITION BY seq_id, ln ORDER BY wi)
- UNION ALL SELECT currier, 4, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w FROM tok WINDOW w AS (PARTITION BY seq_id, ln ORDER BY wi))"""
+_NG = """ng AS (SELECT currier, seq_id, ln, wi, 2 AS ord, word || ' ' || lead(word) OVER w AS g FROM tok WINDOW w AS (PARTITION BY seq_id, ln ORDER BY wi) UNION ALL SELECT currier, seq_id, ln, wi, 3, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w FROM tok WINDOW w AS (PARTITION BY seq_id, ln ORDER BY wi)
+ UNION ALL SELECT currier, seq_id, ln, wi, 4, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w FROM tok WINDOW w AS (PARTITION BY seq_id, ln ORDER BY wi))"""
 
 
 @query(with_pages("X").replace("\nX", f",\n{_NG}\nSELECT currier, ord, CAST(sum(n) AS BIGINT) AS instances, round(sum(CASE WHEN n >= 2 THEN n ELSE 0 END) / sum(n), 6) AS rate FROM (SELECT currier, ord, g, count(*) AS n FROM ng WHERE g IS NOT NULL GROUP BY ALL) GROUP BY ALL"))
@@ -257,12 +258,16 @@ def repeated_ngram_rates(spark, sf_dir):
     return stats.repeated_ngram_rates(tokens.line_rows(page_lines(spark, sf_dir)), "ws", (2, 3, 4), ["currier"]).select("currier", "ord", "instances", r6(F.col("rate"), "rate"))
 
 
-@query(with_pages("X").replace("\nX", f",\n{_NG}\nSELECT ord, g AS ngram, n, rank FROM (SELECT ord, g, n, row_number() OVER (PARTITION BY ord ORDER BY n DESC, g) AS rank FROM (SELECT ord, g, count(*) AS n FROM ng WHERE g IS NOT NULL GROUP BY ord, g)) WHERE rank <= 10"))
+@query(with_pages("X").replace("\nX", f",\n{_NG}\nSELECT ord, g AS ngram, n, rank FROM (SELECT ord, g, n, row_number() OVER (PARTITION BY ord ORDER BY n DESC, f) AS rank FROM (SELECT ord, g, count(*) AS n, min((seq_id, ln, wi)) AS f FROM ng WHERE g IS NOT NULL GROUP BY ord, g)) WHERE rank <= 10"))
 def top_ngrams(spark, sf_dir):
     from pyspark.sql import Window
 
-    counts = stats.ngram_rows(tokens.line_rows(page_lines(spark, sf_dir)), "ws", (2, 3, 4)).groupBy("ord", "ngram").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("n"), "ngram"))
+    each = F.array(*[F.struct(F.lit(k).alias("ord"), stats.ngrams(F.col("ws"), k).alias("g")) for k in (2, 3, 4)])
+    rows = tokens.line_rows(page_lines(spark, sf_dir)).select("seq_id", "ln", F.inline(each)).select("seq_id", "ln", "ord", F.posexplode("g").alias("wi", "ngram"))
+    counts = rows.groupBy("ord", "ngram").agg(F.count("*").alias("n"), F.min(F.struct("seq_id", "ln", "wi")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("n"), "first"))
+    counts = counts.withColumn("rank", rank).drop("first")
+    rank = F.col("rank")
     return counts.withColumn("rank", rank.cast("long")).where("rank <= 10")
 
 
@@ -275,14 +280,14 @@ def sequence_summary(spark, sf_dir):
     return stats.sequence_summary(words, ["entry_id"], ["catalog"]).select("catalog", "tokens", "types", "hapax", r6(F.col("entropy"), "entropy"), "top_word", r6(F.col("top_share"), "top_share"), "sequences")
 
 
-@query(with_pages("""SELECT word, n, CAST(g AS BIGINT) AS grp FROM (SELECT seq_id, ln, wi, word, floor(((row_number() OVER (PARTITION BY fold ORDER BY seq_id, ln, wi)) * 10 - 1) / count(*) OVER (PARTITION BY fold)) AS g, n, fold FROM tok) WHERE fold = 'A' AND wi = 0"""))
+@query(with_pages("""SELECT seq_id, ln, wi, word, CAST(floor(((row_number() OVER (PARTITION BY fold ORDER BY seq_id, ln, wi)) * 10 - 1) / count(*) OVER (PARTITION BY fold)) AS BIGINT) AS grp FROM tok"""))
 def quantile_groups(spark, sf_dir):
-    from pyspark.sql import Window
+    """Ten contiguous groups of the words of each fold."""
+    from folioscope.operators.ranking import ranked_rows
     from folioscope.operators.resample import quantile_group
 
-    t = token_facts(spark, sf_dir).where("fold = 'A'")
-    rank = F.row_number().over(Window.partitionBy("fold").orderBy("seq_id", "ln", "wi")) - 1
-    return t.withColumn("grp", quantile_group(rank, F.count("*").over(Window.partitionBy("fold")), 10).cast("long")).where("wi = 0").select("word", "n", "grp")
+    t = ranked_rows(token_facts(spark, sf_dir).select("fold", "seq_id", "ln", "wi", "word"), ["fold"], ["seq_id", "ln", "wi"], "r", "all")
+    return t.select("seq_id", "ln", "wi", "word", quantile_group(F.col("r"), F.col("all"), 10).cast("long").alias("grp"))
 
 
 @query("WITH " + CORPORA_SQL.strip() + """

@@ -23,12 +23,12 @@ def query(sql: str | None = None):
 
 
 _MULTI = "list_sort(list_transform(list_distinct({a}), lambda s: len(list_filter({a}, lambda x: x = s))))"
-_LABELS = f"WITH h0 AS (SELECT DISTINCT ON (entry_id) entry_id, heading FROM herbal_entry ORDER BY entry_id), f AS (SELECT DISTINCT replace(trim(heading, ' '), ' ', '') AS form FROM h0 WHERE heading IS NOT NULL),\nw0 AS (SELECT DISTINCT word FROM sequence_record WHERE regexp_full_match(word, '[a-z]{{6,}}')), l AS (SELECT word, {UNITS_SQL.format(w='word')} AS u FROM w0)"
+_LABELS = f"WITH h0 AS (SELECT DISTINCT ON (entry_id) entry_id, heading FROM herbal_entry ORDER BY entry_id), f AS (SELECT DISTINCT replace(trim(heading, ' '), ' ', '') AS form FROM h0 WHERE heading IS NOT NULL),\nw0 AS (SELECT DISTINCT word FROM sequence_record WHERE trim(word) <> ''), l AS (SELECT word, {UNITS_SQL.format(w='word')} AS u FROM w0)"
 
 
 def _labels(spark, sf_dir):
     forms = once(table(spark, sf_dir, "herbal_entry"), "entry_id", "heading").where("heading is not null").select(F.replace(F.trim("heading"), F.lit(" "), F.lit("")).alias("form")).distinct()
-    words = table(spark, sf_dir, "sequence_record").select("word").distinct().where(F.col("word").rlike("^[a-z]{6,}$"))
+    words = table(spark, sf_dir, "sequence_record").select("word").distinct().where(F.trim("word") != "")
     return words.withColumn("u", text.units(F.col("word"))), forms
 
 
@@ -46,13 +46,15 @@ def anagram_key_counts(spark, sf_dir):
 
 
 @query(_LABELS + """,
-d AS (SELECT word, form, list_distinct(list_transform(range(1, len(u) + 1), lambda i: u[i] || form[i])) AS pr, list_distinct(u) AS cu, list_distinct(string_split(form, '')) AS pu FROM l, f WHERE len(u) = length(form))
+d AS (SELECT word, form, list_distinct(list_transform(range(1, len(u) + 1), lambda i: u[i] || chr(31) || form[i])) AS pr, list_distinct(u) AS cu, list_distinct(string_split(form, '')) AS pu FROM l, f WHERE len(u) = length(form))
 SELECT form, count(*) AS labels FROM d WHERE len(pr) = len(cu) AND len(pr) = len(pu) GROUP BY form""")
 def mapping_constraints(spark, sf_dir):
-    """How many words read each heading under some one-to-one key; both sides meet on their length."""
+    """How many words read each heading under some one-to-one key. There is one exactly if both have the same pattern of
+    first occurrences (abca: 1,2,3,1), so words are counted by pattern and headings look theirs up."""
     words, forms = _labels(spark, sf_dir)
-    both = words.withColumn("n", F.size("u")).join(forms.withColumn("n", F.length("form")), "n")
-    return both.where(keys.pair_mapping(F.col("u"), F.split("form", "")).isNotNull()).groupBy("form").agg(F.count("*").alias("labels"))
+    pattern = lambda a: F.array_join(F.transform(a, lambda x: F.array_position(a, x).cast("string")), ",")
+    counts = words.groupBy(pattern(F.col("u")).alias("pattern")).agg(F.count("*").alias("labels"))
+    return forms.withColumn("p", F.split("form", "")).withColumn("pattern", pattern(F.col("p"))).join(counts, "pattern").select("form", "labels")
 
 
 @query("SELECT n_nationkey AS k, CAST((n_nationkey + 1) * (12 * 64 * 64 + 13 * 64) + 2 * 64 + 64 * 1000 AS BIGINT) AS params, round(CASE WHEN n_nationkey < 5 THEN 0.001 * (n_nationkey + 1) / 6.0 WHEN n_nationkey > 20 THEN 0.0001 ELSE 0.0001 + 0.5 * (1 + cos(pi() * (n_nationkey - 5) / 15.0)) * 0.0009 END, 9) AS rate FROM nation")
