@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import frequency, language, mixing, mojibake, packing, spans, splits, tokens
+from folioscope.operators.ranking import ranked_rows
 from folioscope.sources.tables import once, table
 
 SPLIT_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -65,15 +66,26 @@ def _corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(table(spark, sf_dir, "corpus"), "corpus_id", "words").select(F.lit("corpus").alias("collection"), F.col("corpus_id").cast("string").alias("record"), "words")
 
 
+def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(table(spark, sf_dir, "sequence_record"), "rec_id", "page", "word").select(F.lit("sequence_record").alias("collection"), F.coalesce("page", F.lit("")).alias("record"), "rec_id", "word")
+
+
 def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = _corpus_records(spark, sf_dir)
-    words = once(table(spark, sf_dir, "sequence_record"), "rec_id", "page", "word").select(F.lit("sequence_record").alias("collection"), F.coalesce("page", F.lit("")).alias("record"), F.col("rec_id").alias("pos"), F.col("word"))
-    single = words.select("collection", "record", "pos", frequency.clean_term("word").alias("term")).where("term is not null")
-    suffixes = single.select("collection", "record", "pos", F.array("term").alias("suffix")).unionByName(frequency.suffixes_of(corpus, 1))
+    """Terms are the intervals of depth 1, so their suffixes are cut after one term."""
+    corpus, words = _corpus_records(spark, sf_dir), _page_words(spark, sf_dir)
+    single = words.select("collection", "record", F.col("rec_id").alias("pos"), frequency.clean_term("word").alias("term")).where("term is not null")
+    suffixes = single.unionByName(frequency.term_rows(corpus)).select("collection", "record", "pos", F.array("term").alias("suffix"))
     totals = corpus.select("collection", "record").unionByName(words.select("collection", "record")).groupBy("collection").agg(F.count_distinct("record").alias("total"))
     return frequency.mark_terms(frequency.suffix_counts(suffixes, 1), totals)
 
 
+def p4_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every n-gram of any length that stands twice or more: words of a corpus in order, words of a page in order of their id."""
+    words = ranked_rows(_page_words(spark, sf_dir), ["record"], ["rec_id"], "pos")
+    terms = words.select("collection", "record", "pos", frequency.clean_term("word").alias("term")).unionByName(frequency.term_rows(_corpus_records(spark, sf_dir)))
+    return frequency.repeated_ngrams(terms).select("collection", "n", F.array_join("ngram", " ").alias("term"), "occurrences", "records")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _term_counts(spark, sf_dir).where("verdict is not null").select("collection", F.col("ngram")[0].alias("term"), "verdict")
 
@@ -82,11 +94,6 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _term_counts(spark, sf_dir).select("collection", F.col("ngram")[0].alias("term"), "occurrences", "records", "verdict")
 
 
-def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = frequency.suffix_counts(frequency.suffixes_of(_corpus_records(spark, sf_dir), 3), 3)
-    return counts.select("collection", "n", F.array_join("ngram", " ").alias("term"), "occurrences", "records")
-
-
 def _restored(spark: SparkSession, sf_dir: str, spans_only: bool) -> DataFrame:
     corpus = table(spark, sf_dir, "corpus").select(F.col("corpus_id").alias("id"), F.substring_index("name", "_", 1).alias("lang"), "source", "words")
     words = corpus.select("id", "lang", F.lit("words").alias("field"), F.posexplode("words").alias("pos", "value"))
@@ -154,7 +161,7 @@ def p8_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("documents"), F.avg("confidence").alias("confidence"), F.avg((F.col("label") == F.col("lang")).cast("double")).alias("agreeing"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p2_shares": p2_shares, "p4_found": p4_found, "p4_terms": p4_terms, "p4_ngrams": p4_ngrams, "p5_method": p5_method, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages, "p8_confidence": p8_confidence}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_split": p2_split, "p2_shares": p2_shares, "p4_method": p4_method, "p4_found": p4_found, "p4_terms": p4_terms, "p5_method": p5_method, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages, "p8_confidence": p8_confidence}
 _TERMS = """WITH c0 AS (SELECT DISTINCT ON (corpus_id) corpus_id, words FROM corpus ORDER BY corpus_id), s0 AS (SELECT DISTINCT ON (rec_id) rec_id, page, word FROM sequence_record ORDER BY rec_id),
 raw AS (SELECT 'corpus' AS collection, CAST(corpus_id AS VARCHAR) AS record, unnest(words) AS w FROM c0 UNION ALL SELECT 'sequence_record', coalesce(page, ''), word FROM s0),
 term AS (SELECT collection, record, lower(trim(nfc_normalize(w), ' ')) AS term FROM raw WHERE w IS NOT NULL),
@@ -163,7 +170,34 @@ n AS (SELECT collection, term, count(*) AS occurrences, count(DISTINCT record) A
 v AS (SELECT n.*, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.1 * total THEN 'common' END AS verdict FROM n JOIN tot USING (collection))
 """
 
+_NGRAMS = """WITH RECURSIVE c0 AS (SELECT DISTINCT ON (corpus_id) corpus_id, words FROM corpus ORDER BY corpus_id), s0 AS (SELECT DISTINCT ON (rec_id) rec_id, page, word FROM sequence_record ORDER BY rec_id),
+raw AS (SELECT 'corpus' AS collection, CAST(corpus_id AS VARCHAR) AS record, CAST(generate_subscripts(words, 1) AS BIGINT) AS pos, unnest(words) AS w FROM c0
+ UNION ALL SELECT 'sequence_record', coalesce(page, ''), row_number() OVER (PARTITION BY coalesce(page, '') ORDER BY rec_id), word FROM s0),
+t AS (SELECT collection, record, pos, lower(trim(nfc_normalize(w), ' ')) AS term FROM raw WHERE lower(trim(nfc_normalize(w), ' ')) <> ''),
+g AS (SELECT 1 AS n, collection, record, pos, term AS gram, count(*) OVER (PARTITION BY collection, term) AS c FROM t
+ UNION ALL SELECT n + 1, g.collection, g.record, g.pos, gram || chr(31) || term, count(*) OVER (PARTITION BY g.collection, gram || chr(31) || term) FROM g JOIN t ON t.collection = g.collection AND t.record = g.record AND t.pos = g.pos + n WHERE c > 1)
+SELECT collection, CAST(n AS INTEGER) AS n, replace(gram, chr(31), ' ') AS term, count(*) AS occurrences, count(DISTINCT record) AS records FROM g WHERE c > 1 GROUP BY collection, n, gram"""
+_WINDOWS = """WITH e0 AS (SELECT DISTINCT ON (entry_id) entry_id, words FROM herbal_entry ORDER BY entry_id), q0 AS (SELECT DISTINCT ON (seq_id) seq_id, lines FROM page_sequence ORDER BY seq_id),
+r AS (SELECT 'herbal_entry' AS record_kind, entry_id AS record_id, words FROM e0 UNION ALL SELECT 'page_sequence', seq_id, flatten(lines) FROM q0),
+w AS (SELECT record_kind, record_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM r),
+g AS (SELECT *, list(word) OVER v AS span, count(word) OVER v AS known FROM w WINDOW v AS (PARTITION BY record_kind, record_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+s AS (SELECT record_kind, span FROM g WHERE known = 12 GROUP BY ALL HAVING count(DISTINCT record_id) > 1),
+p AS (SELECT DISTINCT g.record_kind, g.record_id, unnest(range(pos, pos + 12)) AS place FROM g JOIN s ON s.record_kind = g.record_kind AND s.span = g.span WHERE known = 12)
+SELECT record_kind, record_id, count(*) AS shared_words FROM p GROUP BY ALL"""
+_GROUPS = r"""WITH RECURSIVE q0 AS (SELECT DISTINCT ON (seq_id) seq_id, name, quire FROM page_sequence ORDER BY seq_id),
+f AS (SELECT name AS page, quire FROM q0 UNION SELECT page, quire FROM decomposition_record),
+n AS (SELECT DISTINCT CASE WHEN regexp_matches(page, '(?i)^\W*f(?:ol|olio)?\W*0*(\d+)\W*([rv]\d*)\W*$') THEN 'f' || regexp_extract(page, '(?i)^\W*f(?:ol|olio)?\W*0*(\d+)\W*([rv]\d*)\W*$', 1) || lower(regexp_extract(page, '(?i)^\W*f(?:ol|olio)?\W*0*(\d+)\W*([rv]\d*)\W*$', 2)) ELSE nullif(lower(trim(page)), '') END AS p,
+ CASE WHEN regexp_matches(quire, '(?i)^\W*(?:\$q\s*=|quire\b|q\.)?\W*([a-z])\W*0*(\d+)\W*$') THEN upper(regexp_extract(quire, '(?i)^\W*(?:\$q\s*=|quire\b|q\.)?\W*([a-z])\W*0*(\d+)\W*$', 1)) || regexp_extract(quire, '(?i)^\W*(?:\$q\s*=|quire\b|q\.)?\W*([a-z])\W*0*(\d+)\W*$', 2) END AS q, page FROM f),
+e AS (SELECT DISTINCT '1' || p AS a, coalesce('0' || q, '1' || p) AS b FROM n WHERE p IS NOT NULL),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e),
+c AS (SELECT a AS v, a AS u FROM both_ways UNION SELECT c.v, x.b FROM c JOIN both_ways x ON x.a = c.u),
+m AS (SELECT v, min(u) AS k FROM c GROUP BY v)
+SELECT seq_id, coalesce(substring(k, 2), '') AS group_key FROM q0 LEFT JOIN n ON n.page IS NOT DISTINCT FROM q0.name LEFT JOIN m ON m.v = '1' || n.p GROUP BY ALL"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": _WINDOWS,
+    "p2_found": _GROUPS,
+    "p4_method": _NGRAMS,
     "p4_found": _TERMS + "SELECT collection, term, verdict FROM v WHERE verdict IS NOT NULL",
     "p4_terms": _TERMS + "SELECT collection, term, occurrences, records, verdict FROM v",
 }

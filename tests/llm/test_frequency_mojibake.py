@@ -5,29 +5,35 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm.frequency import clean_term, mark_terms, suffix_counts, suffixes_of
+from folioscope.llm.frequency import clean_term, deep_suffixes, mark_terms, repeated_ngrams, suffix_counts, term_rows
 from folioscope.llm.mojibake import decode_spans, oddness, readings, reread, restore
 
 
-@pytest.mark.parametrize("order,batch", [(1, 10000), (3, 10000), (3, 7), (4, 3)])
-def test_counts_against_brute_force(spark, order, batch):
-    rng = random.Random(order)
-    rows = [(rng.choice("ab"), f"r{k}", [rng.choice([f"w{rng.randrange(6)}", "hot", "Hot ", None, "", " "]) for _ in range(rng.randrange(0, 30))]) for k in range(30)] + [("a", "long", ["hot"] * 3000), (None, None, ["x"]), ("a", "n", None)]
+@pytest.mark.parametrize("batch", [10000, 7])
+def test_counts_against_brute_force(spark, batch):
+    rng = random.Random(batch)
+    passage = [f"p{k}" for k in range(37)]
+    rows = [(rng.choice("ab"), f"r{k}", [rng.choice([f"w{rng.randrange(6)}", "hot", "Hot ", None, "", " "]) for _ in range(rng.randrange(0, 30))]) for k in range(24)] + [("a", "long", ["hot"] * 50), (None, None, ["x"]), ("a", "n", None), ("b", "p", passage + ["q"] + passage), ("b", "s", passage[3:])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "collection string, record string, words array<string>, pos int")
+    single = [(c or "", r or "", k, t) for c, r, words in rows for k, w in enumerate(words or []) if (t := (w or "").strip(" ").lower())]
+    at = {x[:3]: x[3] for x in single}
+    occurrences, records = Counter(), defaultdict(set)
+    for c, r, k in at:
+        run = ()
+        while (c, r, k + len(run)) in at:
+            run += (at[c, r, k + len(run)],)
+            occurrences[c, run] += 1
+            records[c, run].add(r)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        got = {(r.collection, tuple(r.ngram)): (r.n, r.occurrences, r.records) for r in suffix_counts(suffixes_of(df, order), order, 5).collect()}
+        got = {(r.collection, tuple(r.ngram)): (r.n, r.occurrences, r.records) for r in repeated_ngrams(term_rows(df)).collect()}
+        one = suffix_counts(term_rows(df).select("collection", "record", "pos", F.array("term").alias("suffix")), 1, 5).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    occurrences, records = Counter(), defaultdict(set)
-    for c, r, words in rows:
-        terms = [t for w in words or [] if (t := (w or "").strip(" ").lower())]
-        for n in range(1, order + 1):
-            for k in range(len(terms) - n + 1):
-                key = (c or "", tuple(terms[k : k + n]))
-                occurrences[key] += 1
-                records[key].add(r or "")
-    assert got == {k: (len(k[1]), n, len(records[k])) for k, n in occurrences.items()}
+    assert got == {k: (len(k[1]), n, len(records[k])) for k, n in occurrences.items() if n > 1}
+    assert {(r.collection, tuple(r.ngram)): (r.occurrences, r.records) for r in one} == {k: (n, len(records[k])) for k, n in occurrences.items() if len(k[1]) == 1}
+    blocks, deepest = deep_suffixes(term_rows(df.where("record = 'p'")), 8)
+    assert deepest >= 38 and blocks.count() == 75 and repeated_ngrams(term_rows(df.limit(0))).count() == 0
 
 
 def test_terms_and_marks(spark):
