@@ -109,6 +109,12 @@ def paragraphs(markup: Column) -> Column:
     return F.transform(raw, lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\[[^\]]*\]", ""), r"<[^>]+>", " "), r"\s+", " ")))
 
 
+def between_anchors(markup: Column, start: str, end: str) -> Column:
+    """The text after the first ``start`` up to the next ``end``, null where either is missing."""
+    after = F.when(F.contains(markup, F.lit(start)), F.substring(markup, F.locate(start, markup) + len(start), F.length(markup)))
+    return F.when(F.contains(after, F.lit(end)), F.substring(after, F.lit(1), F.locate(end, after) - 1))
+
+
 def title_forms(title: Column, least: int = 2) -> Column:
     """The title without spaces and its prefixes of at least ``least`` letters, longest first, once each."""
     whole = F.regexp_replace(title, r"\s+", "")

@@ -192,3 +192,33 @@ def spherical_classes(vectors: pd.DataFrame, frequencies: dict[str, int], classe
             centroids[c] = total / length if length else (m[seeds[c]] if not (own == c).any() else 0)
     found = {w: int(own[at[w]]) for w in usable}
     return {w: found.get(w, 0) for w in words}
+
+
+def edit_grid(pairs: DataFrame, grid: Sequence[tuple[float, float, float]], alphabet: int) -> DataFrame:
+    """(source, target, setting, edit): the edit channel of each distinct pair under every setting (insertion, deletion, copy)."""
+    import re
+
+    cut = re.compile("|".join(text.UNIT_GROUPS) + "|.", re.S)
+
+    def run(batches):
+        for pdf in batches:
+            known = {w: cut.findall(w) for w in {*pdf["source"], *pdf["target"]}}
+            for i, d, c in grid:
+                yield pdf.assign(setting=f"{i}/{d}/{c}", edit=[edit_probability(known[a], known[b], i, d, c, alphabet) for a, b in zip(pdf["source"], pdf["target"])])
+
+    return pairs.select("source", "target").distinct().mapInPandas(run, "source string, target string, setting string, edit double")
+
+
+def fit_copy_weights(rows: DataFrame, by: Sequence[str], rounds: int = 30) -> DataFrame:
+    """(by, weight, log_likelihood): weight of ``edit`` against ``base`` from .25, kept in [.001, .999], by rounds of one distributed aggregate.
+
+    Each round returns one row a group; ``n`` is the multiplicity of a row.
+    """
+    weights = rows.select(*by).distinct().withColumn("w", F.lit(0.25))
+    spark = rows.sparkSession
+    part = F.col("w") * F.col("edit")
+    mass = part + (1 - F.col("w")) * F.col("base")
+    for _ in range(rounds):
+        step = rows.join(F.broadcast(weights), list(by)).groupBy(*by).agg(F.least(F.greatest(F.sum(F.col("n") * part / mass) / F.sum("n"), F.lit(0.001)), F.lit(0.999)).alias("w"))
+        weights = spark.createDataFrame(step.collect(), step.schema)  # one row a group
+    return rows.join(F.broadcast(weights), list(by)).groupBy(*by).agg(F.round(F.max("w"), 6).alias("weight"), F.round(F.sum(F.col("n") * F.log2(mass)), 4).alias("log_likelihood"))

@@ -43,3 +43,12 @@ def learning_rate(step: Column, peak: float, least: float, warmup: int, decay: i
     """Linear warm-up, cosine decay, then the least rate."""
     share = (step - warmup) / (decay - warmup)
     return F.when(step < warmup, peak * (step + 1) / (warmup + 1)).when(step > decay, least).otherwise(least + 0.5 * (1 + F.cos(F.lit(math.pi) * share)) * (peak - least))
+
+
+def work(parameters: Column, tokens: Column) -> Column:
+    """Floating-point operations of training by the rule 6 N D."""
+    return 6.0 * parameters * tokens
+
+
+def training_days(parameters: Column, tokens: float, peak_flops: float, utilisation: float, devices: int) -> Column:
+    return work(parameters, F.lit(tokens)) / (peak_flops * utilisation * devices) / 86400
