@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def merge(a: Mapped, b: Mapped, injective: bool = True) -> Mapped | None:
     return tuple(sorted(out.items()))
 
 
-def fit_keys(options: Mapping[str, Sequence[Mapped]], beam: int = 50_000, most: int = 20_000, injective: bool = True) -> tuple[int, list[Mapped], bool]:
+def fit_keys(options: Mapping[str, Sequence[Mapped]], beam: int = 50_000, injective: bool = True) -> tuple[int, list[Mapped], bool]:
     """(pages met, best keys, cut off): keys consistent with as many pages as can be; pages with fewer options first, any may be left out."""
     states: dict[Mapped, frozenset] = {(): frozenset()}
     cut = False
@@ -61,7 +62,23 @@ def fit_keys(options: Mapping[str, Sequence[Mapped]], beam: int = 50_000, most:
         cut, states = cut or len(ordered) > beam, dict(ordered[:beam])
     best = max(map(len, states.values()))
     keys = sorted((k for k, met in states.items() if len(met) == best), key=lambda k: (len(k), k))
-    return best, keys[:most], cut
+    return best, keys, cut
+
+
+def fit_runs(options: DataFrame, by: str, beam: int = 50_000) -> DataFrame:
+    """(by, met, keys, cut): the beam search of each run in a task of its own.
+
+    ``options`` has (by, page, mapping array<struct<c:string,p:string>>); a run holds the cribs of a few pages, which the design bounds.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        per: dict[str, list[Mapped]] = {}
+        for page, mapping in zip(pdf["page"], pdf["mapping"]):
+            per.setdefault(page, []).append(tuple((x["c"], x["p"]) for x in mapping))
+        met, found, cut = fit_keys(per, beam)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "met": [met], "keys": [len(found)], "cut": [cut]})
+
+    return options.groupBy(by).applyInPandas(one, f"{by} {options.schema[by].dataType.simpleString()}, met int, keys long, cut boolean")
 
 
 def anagram_key_count(cipher: Column, plain: Column) -> Column:
@@ -74,6 +91,7 @@ def anagram_key_count(cipher: Column, plain: Column) -> Column:
 
 def reduce_alphabet(words: Sequence[Sequence[str]]) -> dict[str, str]:
     """Letter to class with the two rarest letters (then first in order) as one class."""
+    # Fixed value: the name of the merged class.
     n = Counter(x for w in words for x in w)
     rare = sorted(n, key=lambda x: (n[x], x))[:2]
     return {x: "<HEBREW_RARE>" if x in rare else x for x in n}
@@ -111,27 +129,50 @@ def frequency_key(cipher: Counter, plain: Counter) -> dict[str, str]:
 
 
 def polish(objective: Objective, key: Mapping[str, str]) -> dict[str, str]:
-    """Best swap after best swap until none gains."""
+    """Best swap after best swap until none gains more than 1e-9."""
     key, symbols = dict(key), sorted(key)
-    while True:
-        gain, a, b = max(((objective.gain(key, a, b), a, b) for i, a in enumerate(symbols) for b in symbols[i + 1 :]), default=(0.0, "", ""))
+    pairs = [(a, b) for i, a in enumerate(symbols) for b in symbols[i + 1 :]]
+    while pairs:
+        gain, a, b = max((objective.gain(key, a, b), a, b) for a, b in pairs)
         if gain <= 1e-9:
-            return key
+            break
         key[a], key[b] = key[b], key[a]
+    return key
 
 
-def anneal(objective: Objective, key: Mapping[str, str], steps: int = 6000, seed: int = 408, hot: float = 0.025, cold: float = 0.0002) -> dict[str, str]:
-    """Swaps accepted by the change of the mean score at a falling temperature, then polished."""
+# Temperatures of the published search, in natural logarithms of the mean score.
+HOT, COLD = 0.025, 0.0002
+
+
+def anneal(objective: Objective, key: Mapping[str, str], steps: int = 6000, seed: int = 408, hot: float = HOT, cold: float = COLD) -> dict[str, str]:
+    """The best key met by swaps accepted at a temperature falling geometrically, polished.
+
+    Scores are log2 probabilities; the rule of acceptance takes natural logarithms, so a change counts ln 2 times. Every seed but the first
+    of a search starts from a permuted key, so restarts explore different regions.
+    """
     rng, key, symbols = random.Random(seed), dict(key), sorted(key)
-    total = max(1, sum(n for _, n in objective.items))
     if len(symbols) < 2:
         return key
+    total, at, best_at, best = max(1, sum(n for _, n in objective.items)), 0.0, 0.0, dict(key)
     for step in range(steps):
         a, b = rng.sample(symbols, 2)
-        change = objective.gain(key, a, b) / total
+        change = objective.gain(key, a, b) * math.log(2) / total
         if change >= 0 or rng.random() < math.exp(change / (hot * (cold / hot) ** (step / max(1, steps - 1)))):
             key[a], key[b] = key[b], key[a]
-    return polish(objective, key)
+            at += change
+            if at > best_at + 1e-15:
+                best_at, best = at, dict(key)
+    return polish(objective, best)
+
+
+def restart_key(key: Mapping[str, str], run: int, seed: int) -> dict[str, str]:
+    """The starting key of a restart: the given one for the first run, else its values in seeded order."""
+    if run == 0:
+        return dict(key)
+    symbols = sorted(key)
+    values = [key[s] for s in symbols]
+    random.Random(seed * 1_000_003 + run).shuffle(values)
+    return dict(zip(symbols, values))
 
 
 def search(runs: DataFrame, objective: Objective, key: Mapping[str, str], steps: int = 6000) -> DataFrame:
@@ -141,7 +182,7 @@ def search(runs: DataFrame, objective: Objective, key: Mapping[str, str], steps:
     def one(batches):
         for pdf in batches:
             task, start = shared.value
-            keys = [anneal(task, start, steps, int(s)) for s in pdf["seed"]]
+            keys = [anneal(task, restart_key(start, int(r), int(s)), steps, int(s)) for r, s in zip(pdf["run"], pdf["seed"])]
             yield pdf[["run"]].assign(score=np.array([task.score(k) for k in keys], float), key=[sorted(k.items()) for k in keys])
 
     return runs.select("run", "seed").repartition("run").mapInPandas(one, "run int, score double, key array<struct<c:string,p:string>>")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import random
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +78,52 @@ def balanced_folds(weights: dict[str, float], folds: int) -> dict[str, int]:
         best = min(range(folds), key=lambda k: (load[k], k))
         fold_of[name], load[best] = best, load[best] + weight
     return fold_of
+
+
+def disjoint_spans(lengths: Sequence[int], sizes: Sequence[int], seed: int) -> list[tuple[int, int] | None]:
+    """(text, start) of a span for each length, longest first, at a seeded place that no other span uses; None where none is free."""
+    rng, taken = random.Random(seed), [[] for _ in sizes]
+    out: list[tuple[int, int] | None] = [None] * len(lengths)
+    for k in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        free = []
+        for t, size in enumerate(sizes):
+            edge = 0
+            for a, b in [*sorted(taken[t]), (size, size)]:
+                if a - edge >= lengths[k]:
+                    free.append((t, edge, a - lengths[k]))
+                edge = b
+        if free:
+            t, first, last = rng.choice(free)
+            at = rng.randint(first, last)
+            taken[t].append((at, at + lengths[k]))
+            out[k] = (t, at)
+    return out
+
+
+def matched_spans(entries: DataFrame, texts: DataFrame, group: str, trials: int, seed: int, sample: int = 64, least: int = 4) -> DataFrame:
+    """(group, trials, wins, ties, least_difference, most_difference): in each trial half of a sample of a group's entries against spans of equal
+    lengths, disjoint, from a sample of texts; the share of neighbours that repeat an earlier pair is compared.
+
+    A trial draws at most ``sample`` entries and texts in md5 order, a parameter of the bootstrap; groups of fewer than ``least`` entries fall out.
+    ``entries`` has (group, id, words), ``texts`` (id, words).
+    """
+    draw = lambda df, name, keys: ranked_rows(df.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))), ["trial", *keys], [md5_order(seed, F.lit(name), "trial", "id"), "id"], "_r", "_n").where(F.col("_r") < sample)
+    own = draw(entries, "entry", [group]).where((F.col("_r") < F.ceil(F.col("_n") / 2)) & (F.col("_n") >= least)).groupBy("trial", group).agg(F.array_sort(F.collect_list(F.struct("_r", "words"))).alias("e"))
+    other = draw(texts, "text", []).groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("_r", "words"))).alias("t"))
+
+    def repeated(lines: list[list[str]]) -> float:
+        pairs = Counter(p for ws in lines for p in zip(ws, ws[1:]))
+        return sum(n for n in pairs.values() if n > 1) / max(1, sum(pairs.values()))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for trial, g, e, t in zip(pdf["trial"], pdf[group], pdf["e"], pdf["t"]):
+                lines, pool = [list(x["words"]) for x in e], [list(x["words"]) for x in t]
+                at = disjoint_spans([len(x) for x in lines], [len(x) for x in pool], seed * 1000 + trial)
+                kept = [(line, pool[p[0]][p[1] : p[1] + len(line)]) for line, p in zip(lines, at) if p]
+                rows.append((trial, g, repeated([x for x, _ in kept]) - repeated([y for _, y in kept])))
+            yield pd.DataFrame(rows, columns=["trial", group, "d"])
+
+    d = own.join(other, "trial").mapInPandas(compare, f"trial int, {group} string, d double")
+    return d.groupBy(group).agg(F.count("*").alias("trials"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), F.round(F.min("d"), 6).alias("least_difference"), F.round(F.max("d"), 6).alias("most_difference"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
+from folioscope.session import cut_lineage
 
 MODELS = ("morphology", "layout", "procedural_morphology", "previous_word_identity", "previous_line_identity", "neighbor_identity_mixture")
 LAYOUT = ("morph", "currier", "topic", "position")
@@ -23,9 +24,9 @@ def with_morphology(tokens: DataFrame, depth: int = 1) -> DataFrame:
 
 
 def by_test_fold(tokens: DataFrame, fold: str = "fold") -> DataFrame:
-    """Every row once for each held-out fold, with ``train``; the number of folds is a small design constant."""
-    folds = F.array([F.lit(r[0]) for r in tokens.select(fold).distinct().orderBy(fold).limit(1000).collect()])
-    return tokens.withColumn("test", F.explode(folds)).withColumn("train", F.col(fold) != F.col("test"))
+    """Every row once for each held-out fold, with ``train``. Folds are a small design constant: one array of their names meets each row."""
+    folds = tokens.select(fold).distinct().agg(F.array_sort(F.collect_list(fold)).alias("_folds"))
+    return tokens.crossJoin(F.broadcast(folds)).withColumn("test", F.explode("_folds")).drop("_folds").withColumn("train", F.col(fold) != F.col("test"))
 
 
 def vocabularies(rows: DataFrame, limit: int, order: Sequence[str], by: Sequence[str] = ("test",)) -> DataFrame:
@@ -79,7 +80,8 @@ def probabilities(encoded: DataFrame, targets: DataFrame, alpha: float = 0.5, st
 def held_out(tokens: DataFrame, limit: int = 512, depth: int = 1) -> DataFrame:
     """Rows by test fold, with morphology, in the words of each fold's vocabulary."""
     rows = by_test_fold(with_morphology(tokens, depth))
-    return encode(rows, vocabularies(rows, limit, ("seq_id", "ln", "wi")), ("word", "prev_word", "pl_word"))
+    rows = cut_lineage(rows)
+    return cut_lineage(encode(rows, vocabularies(rows, limit, ("seq_id", "ln", "wi")), ("word", "prev_word", "pl_word")))
 
 
 def bits(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

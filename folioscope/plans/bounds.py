@@ -225,3 +225,43 @@ def reading_mappings(spark, sf_dir):
     pattern = lambda c: F.array_join(F.transform(F.split(c, ""), lambda x: F.array_position(F.split(c, ""), x).cast("string")), ",")
     met = both.withColumn("p", pattern("w")).join(forms.withColumn("p", pattern("form")), "p")
     return met.groupBy("form").agg(F.count_distinct(keys.pair_mapping(F.split("w", ""), F.split("form", ""))).alias("mappings"))
+
+
+@query()
+def span_bootstrap(spark, sf_dir):
+    """Entries of a catalogue against length-matched spans of page words: repeated neighbours in each, wins and ties over trials."""
+    entries = once(table(spark, sf_dir, "herbal_entry"), "entry_id", "catalog", "words").where("catalog is not null").select("catalog", F.col("entry_id").alias("id"), F.filter("words", lambda w: w.isNotNull()).alias("words")).where(F.size("words") > 1)
+    pages = once(table(spark, sf_dir, "page_sequence"), "seq_id", "lines").select(F.col("seq_id").alias("id"), F.filter(F.flatten("lines"), lambda w: w.isNotNull()).alias("words")).where(F.size("words") > 1)
+    return resample.matched_spans(entries, pages, "catalog", 20, SEED)
+
+
+@query()
+def line_alignment(spark, sf_dir):
+    """Headings aligned to the beginning of their entries: edit distance, and where the heading's end falls."""
+    from folioscope.operators.align import align_udf
+
+    e = once(table(spark, sf_dir, "herbal_entry"), "entry_id", "heading", "words").where("heading is not null and size(words) > 0")
+    pairs = e.select("entry_id", F.trim("heading").alias("a"), F.array_join(F.slice("words", 1, 3), " ").alias("b"))
+    met = pairs.select("a", "b").distinct().withColumn("m", align_udf("a", "b"))  # each pair is aligned once
+    return pairs.join(met, ["a", "b"]).select("entry_id", F.col("m.distance").alias("distance"), F.element_at("m.ends", -1).alias("end"))
+
+
+@query("""SELECT CAST(levenshtein(previous_word, word) AS INTEGER) AS distance, count(*) AS pairs FROM (SELECT DISTINCT previous_word, word FROM decomposition_record WHERE regexp_full_match(previous_word || word, '[ -~]*')) GROUP BY distance""")
+def edit_distances(spark, sf_dir):
+    """Edit distance of the different pairs of neighbours in ASCII, by the alignment that also gives the path."""
+    from folioscope.operators.align import align_udf
+
+    pairs = table(spark, sf_dir, "decomposition_record").where(F.concat("previous_word", "word").rlike("^[ -~]*$")).select("previous_word", "word").distinct()
+    return pairs.select(align_udf("previous_word", "word")["distance"].alias("distance")).groupBy("distance").agg(F.count("*").alias("pairs"))
+
+
+@query("""WITH r AS (SELECT seq_id, length(array_to_string(flatten(lines), ' ')) AS n, len(lines) AS k, row_number() OVER (ORDER BY seq_id) - 1 AS r FROM (SELECT DISTINCT ON (seq_id) seq_id, lines FROM page_sequence ORDER BY seq_id) WHERE length(array_to_string(flatten(lines), ' ')) >= 8 AND len(lines) BETWEEN 2 AND 40)
+SELECT CASE WHEN r % 5 = 0 THEN 'evaluation' ELSE 'training' END AS part, count(*) AS pages, CAST(sum(n) AS BIGINT) AS characters FROM r GROUP BY ALL""")
+def eligible_split(spark, sf_dir):
+    """Pages long enough and with a plausible number of lines; every fifth of them is for evaluation, and an empty side is an error."""
+    from folioscope.operators.ranking import ranked_rows
+
+    n = F.length(F.array_join(F.flatten("lines"), " "))
+    pages = once(table(spark, sf_dir, "page_sequence"), "seq_id", "lines").where((n >= 8) & F.size("lines").between(2, 40)).select("seq_id", n.cast("long").alias("n"))
+    r = ranked_rows(pages, [], ["seq_id"], "r").groupBy(F.when(F.col("r") % 5 == 0, "evaluation").otherwise("training").alias("part")).agg(F.count("*").alias("pages"), F.sum("n").alias("characters"))
+    return r

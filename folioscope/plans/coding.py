@@ -278,7 +278,7 @@ def _sig(w: str) -> str:
 
 
 _FOLDS = "(CASE WHEN ascii(fold) % 2 = 0 THEN 'even' ELSE 'odd' END)"
-_V = 200
+_V = 512
 _CODED = f"""{_RES},
 f2 AS (SELECT seq_id, ln, wi, currier, topic, CASE WHEN n = 1 THEN 'single' WHEN wi = 0 THEN 'first' WHEN wi = n - 1 THEN 'last' ELSE 'middle' END AS position, {_FOLDS} AS fold, word, prev_word, pl_word, {_sig('word')} AS morph, {_sig('prev_word')} AS prev_morph, {_sig('pl_word')} AS pl_morph FROM t3),
 xt AS (SELECT f2.*, x.test, f2.fold <> x.test AS train FROM f2, (SELECT DISTINCT fold AS test FROM f2) x),

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import text
 
@@ -33,7 +34,7 @@ def language_files(spark: SparkSession, folder: str, encodings: Mapping[str, str
     return rows.groupBy("language").agg(F.max_by(F.struct("file", "words"), F.struct("weight", "file")).alias("b")).select("language", "b.file", "b.words")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(content, charset):
     """Text of bytes in a named encoding, null where they don't decode."""
     import pandas as pd
@@ -52,7 +53,7 @@ def comparison_corpora(spark: SparkSession, folder: str, metadata: DataFrame | N
     (name, family) by the file's stem, else it is ``family``; words stop after the one that crosses ``units``."""
     files = spark.read.format("binaryFile").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    kept = files.where(~name.startswith(".") & ~name.rlike(r"\.(csv|xlsx)$")).select(F.regexp_replace(name, r"\.[^.]+$", "").alias("name"), F.decode("content", F.lit("UTF-8")).alias("t"))
+    kept = files.where(~name.startswith(".") & ~name.rlike(r"\.(csv|xlsx)$")).select(F.regexp_replace(name, r"\.[^.]+$", "").alias("name"), F.decode("content", "UTF-8").alias("t"))
     rows = kept.select("name", text.letter_mark_words(F.col("t")).alias("words"))
     if units is not None:
         rows = rows.withColumn("words", within_units(F.col("words"), units))
