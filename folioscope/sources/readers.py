@@ -49,11 +49,11 @@ def decoded(content, charset):
 
 
 def comparison_corpora(spark: SparkSession, folder: str, metadata: DataFrame | None = None, units: int | None = None, family: str = "unknown") -> DataFrame:
-    """(name, family, words) of the text files of a folder: hidden files and tables are passed over, the family comes from ``metadata``
+    """(name, family, words) of the text files of a folder: hidden files, tables and files that aren't UTF-8 are passed over, the family comes from ``metadata``
     (name, family) by the file's stem, else it is ``family``; words stop after the one that crosses ``units``."""
     files = spark.read.format("binaryFile").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    kept = files.where(~name.startswith(".") & ~name.rlike(r"\.(csv|xlsx)$")).select(F.regexp_replace(name, r"\.[^.]+$", "").alias("name"), F.decode("content", "UTF-8").alias("t"))
+    kept = files.where(~name.startswith(".") & ~name.rlike(r"\.(csv|xlsx)$")).select(F.regexp_replace(name, r"\.[^.]+$", "").alias("name"), decoded("content", F.lit("utf-8")).alias("t")).where("t is not null")
     rows = kept.select("name", text.letter_mark_words(F.col("t")).alias("words"))
     if units is not None:
         rows = rows.withColumn("words", within_units(F.col("words"), units))
