@@ -4,7 +4,7 @@ Every record is a row of symbols, at first its words. A round names each maximal
 neighbours whose left one is of the left and whose right one is of the right class of that round; both depend on the
 symbols alone, so equal substrings get equal interior symbols in every record. A name is a hash of its definition, in two
 64-bit lanes, and so is the same everywhere without a join. Each round is a Spark job over the rows of the last one that
-also collects the definitions it used: a second, combinable aggregation proves that each name has one definition
+also collects the definitions it used: a second, combinable aggregation checks, by a third hash, that each name has one definition
 in the whole table (else the round is done again with other names). By induction equal symbols are equal words.
 
 Near the ends of a window a symbol may reach outside. Which ones, follows from the window's own symbols: the first and
@@ -197,7 +197,8 @@ def _round(salt: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _chunks(batches):
             above, a, b, made = compress(r.level, r.a, r.b, salt)
-            made = np.unique(made, axis=0) if len(made) else made
+            made = made[np.argsort(made[:, 1], kind="stable")]
+            made = made[np.append(True, (made[1:] != made[:-1]).any(1))] if len(made) else made
             own = r.record[above.start] if len(above.start) else above.start
             symbols = np.bincount(own, minlength=len(r.ids))
             place = np.arange(len(r.seg))
@@ -216,7 +217,7 @@ def _round(salt: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 _WINDOWS = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("at", _LONGS), ("w0", _LONGS), ("w1", _LONGS)])
 
 
-def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _windows(length: int, cores_only: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One row for the windows that follow one another in a record and have the same core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +228,11 @@ def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             new = np.ones(len(at), bool)
             new[1:] = (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1]) | (r.record[at][1:] != r.record[at][:-1])
             first = np.flatnonzero(new)
-            offsets = pa.array(np.append(first, len(at)), pa.int32())
             own = pa.array(r.record[at[first]])
+            if cores_only:
+                yield pa.RecordBatch.from_arrays([r.kinds.take(own), r.ids.take(own), *[pa.array(w[f"c{k}"][first].view(np.int64)) for k in LANES]], names=["kind", "id", "c0", "c1"])
+                continue
+            offsets = pa.array(np.append(first, len(at)), pa.int32())
             as_list = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64)))
             yield pa.RecordBatch.from_arrays([r.kinds.take(own), r.ids.take(own), *[pa.array(w[f"c{k}"][first].view(np.int64)) for k in LANES], *map(as_list, (at, w["w0"], w["w1"]))], schema=_WINDOWS)
 
@@ -237,15 +241,15 @@ def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def clashing_names(state: DataFrame) -> int:
     """Names with more than one definition among those a round used: one combinable aggregation of the distinct definitions."""
-    made = state.where(F.size("made") > 0).select(F.explode("made").alias("m")).select(F.col("m")[0].alias("step"), F.col("m")[1].alias("x"), F.col("m")[2].alias("y"), F.slice("m", 4, 4).alias("d"))
+    made = state.where(F.size("made") > 0).select(F.explode("made").alias("m")).select(F.col("m")[0].alias("step"), F.col("m")[1].alias("x"), F.col("m")[2].alias("y"), F.xxhash64(F.lit("definition"), *[F.col("m")[k] for k in (3, 4, 5, 6)]).alias("d"))
     return made.groupBy("step", "x", "y").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").count()
 
 
 def recompress(records: DataFrame, rounds: int, attempts: int = 4) -> DataFrame:
     """The state after ``rounds`` rounds of naming over all records (kind, id, words), a written table."""
     name = lambda lane: F.transform("words", lambda w: F.when(w.isNotNull(), F.xxhash64(F.lit("second lane"), w) if lane else F.xxhash64(w)).otherwise(F.lit(0).cast("long")))
-    words = records.select(F.explode("words").alias("w")).where("w is not null").select(F.xxhash64("w").alias("x"), F.xxhash64(F.lit("second lane"), "w").alias("y"), "w")
-    if words.groupBy("x", "y").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).where("lo <> hi").limit(1).count():
+    words = records.select(F.explode("words").alias("w")).where("w is not null").select(F.xxhash64("w").alias("x"), F.xxhash64(F.lit("second lane"), "w").alias("y"), F.xxhash64(F.lit("definition"), "w").alias("d"))
+    if words.groupBy("x", "y").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").limit(1).count():
         raise RuntimeError("two words have one name")
     zeros, ones = (F.transform("words", lambda _: F.lit(x)) for x in (0, 1))
     w0, w1 = name(0), name(1)
@@ -268,9 +272,11 @@ def shared_windows(records: DataFrame, length: int) -> DataFrame:
     rounds = max(1, int(np.log2(max(length, 6) / 3)))
     usable = records.where(F.col("id").isNotNull() & (F.size("words") >= length)).select(F.coalesce("kind", F.lit("")).alias("kind"), F.col("id").cast("long").alias("id"), "words")
     state = recompress(usable, rounds)
-    cores = state.select("kind", "id", "w0", "w1", "s0", "s1", "len", "a", "b").mapInArrow(_windows(length), "kind string, id long, c0 long, c1 long, at array<long>, w0 array<long>, w1 array<long>")
+    state_rows = state.select("kind", "id", "w0", "w1", "s0", "s1", "len", "a", "b")
+    names = state_rows.mapInArrow(_windows(length, cores_only=True), "kind string, id long, c0 long, c1 long")
+    cores = state_rows.mapInArrow(_windows(length), "kind string, id long, c0 long, c1 long, at array<long>, w0 array<long>, w1 array<long>")
     two = lambda df, *keys: df.groupBy("kind", *keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("kind", *keys)
-    shared = cut_lineage(two(cores.select("kind", "c0", "c1", "id"), "c0", "c1"))
+    shared = cut_lineage(two(names, "c0", "c1"))
     candidates = cut_lineage(cores.join(shared, ["kind", "c0", "c1"], "left_semi").select("kind", "id", F.inline(F.arrays_zip("at", "w0", "w1"))))
     discard(state, shared)
     return candidates.join(two(candidates, "w0", "w1"), ["kind", "w0", "w1"], "left_semi").select("kind", "id", "at")
