@@ -17,12 +17,9 @@ from pyspark.sql import functions as F
 from folioscope.functions import text
 from folioscope.operators import residual
 
+# Settings (insertion, deletion, copy) of the edit channel.
 EDITS = {"edit_tight": (0.05, 0.05, 0.9), "edit_loose": (0.15, 0.15, 0.7)}
-CLASSES = (8, 16)
-EXPERTS = ("base", "paragraph", "boundary", "edit_tight", "edit_loose", "class_8", "class_16", "line_edit_tight", "line_edit_loose", "line_class_8", "line_class_16", "exact_previous", "exact_aligned")
-FAMILIES = {"base": EXPERTS[:1], "paragraph": ("base", "paragraph"), "boundary": ("base", "boundary"), "copy_edit": ("base", "edit_tight", "edit_loose"), "latent_class": ("base", "class_8", "class_16"), "previous_line_pool": ("base", *EXPERTS[7:11]), "exact_identity": ("base", "exact_previous", "exact_aligned"), "full": EXPERTS}
 BASE_KEY = ("test", "morph", "currier", "topic", "position", "prev_morph", "pl_morph")
-UNIT = 1e-300
 
 
 def edit_probability(source: Sequence[str], target: Sequence[str], insertion: float, deletion: float, copy: float, alphabet: int) -> float:
@@ -83,11 +80,6 @@ def base_distribution(encoded: DataFrame, contexts: DataFrame) -> DataFrame:
     return scored.select(*BASE_KEY, F.col("word").alias("cand"), F.col("procedural_morphology").alias("p0"))
 
 
-def null_safe(df: DataFrame, columns: Sequence[str] = ("prev_morph", "pl_morph")) -> DataFrame:
-    """Absent neighbours as an explicit value, so that keys join."""
-    return df.fillna("\x00", list(columns))
-
-
 def mixture_weights(rows: np.ndarray, iterations: int = 200, floor: float = 1e-9) -> np.ndarray:
     """Maximum-likelihood weights of experts (columns) by EM, floored before they are made to sum to 1."""
     k = rows.shape[1]
@@ -135,17 +127,6 @@ def fit_mixture(scored: DataFrame, experts: Sequence[str], by: Sequence[str], it
     return {g: dict(zip(experts, map(float, w))) for g, w in weights.items()}
 
 
-def copy_weight(pairs: list[tuple[int, float, float]], iterations: int = 30) -> tuple[float, float]:
-    """(weight, log-likelihood in bits) of the second of two components over (count, base, other); 30 rounds from 0.25, clamped."""
-    if not pairs:
-        raise ValueError("no pairs to fit")
-    n, a, b = (np.array(x, float) for x in zip(*pairs))
-    w = 0.25
-    for _ in range(iterations):
-        w = float(np.clip((n * w * b / ((1 - w) * a + w * b)).sum() / n.sum(), 0.001, 0.999))
-    return w, float((n * np.log2((1 - w) * a + w * b)).sum())
-
-
 def ppmi(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, word, feature, value): positive pointwise mutual information of words with their left and right neighbours,
     rows of length 1. ``pairs`` has (prev_word, word) in the words of a vocabulary, unknown words as a sentinel."""

@@ -122,12 +122,6 @@ class Objective:
         return after - before
 
 
-def frequency_key(cipher: Counter, plain: Counter) -> dict[str, str]:
-    """Symbols matched by rank of frequency."""
-    by_rank = lambda n: sorted(n, key=lambda x: (-n[x], x))
-    return dict(zip(by_rank(cipher), by_rank(plain)))
-
-
 def polish(objective: Objective, key: Mapping[str, str]) -> dict[str, str]:
     """Best swap after best swap until none gains more than 1e-9."""
     key, symbols = dict(key), sorted(key)

@@ -91,18 +91,6 @@ def sequence_summary(tokens: DataFrame, sequence: Sequence[str], by: Sequence[st
     return _beside([words, sequences], by)
 
 
-def quantile_half_even(values: Column, p: float) -> Column:
-    """The element of the sorted values at round-half-even(p (n - 1)), as an aggregate over ``collect_list``."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, F.least(F.greatest(F.bround(F.lit(p) * (F.size(s) - 1), 0).cast("int"), F.lit(0)), F.size(s) - 1) + 1)
-
-
-def bhattacharyya(a: DataFrame, b: DataFrame, key: str, a_names: Sequence[str] = (), b_names: Sequence[str] = ()) -> DataFrame:
-    """-ln sum sqrt(p q) over shared keys of distributions (names, key, p); pairs without a shared key have none here."""
-    joined = a.withColumnRenamed("p", "pa").join(b.withColumnRenamed("p", "pb"), key)
-    return joined.groupBy(*a_names, *b_names).agg((-F.ln(F.sum(F.sqrt(F.col("pa") * F.col("pb"))))).alias("distance"))
-
-
 def distribution(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     counts = df.groupBy(*by, key).agg(F.count("*").alias("n"))
     total = df.groupBy(*by).agg(F.count("*").alias("all"))

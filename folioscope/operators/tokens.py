@@ -42,17 +42,6 @@ def token_rows(pages_df: DataFrame) -> DataFrame:
     return rows.withColumn("pl_word", F.get("prev_ws", "pl_idx")).withColumn("position", text.line_position(F.col("wi"), F.col("n")))
 
 
-def symbol_stream(pages_df: DataFrame, grouped: bool = True, boundary: str = text.SPACE) -> DataFrame:
-    """(seq_id, fold, pos, symbol): the units of all words of a page with a boundary after each word."""
-    word_units = F.flatten(F.transform(F.flatten("lines"), lambda w: F.concat(text.units(w, grouped), F.array(F.lit(boundary)))))
-    return pages_df.select("seq_id", "currier", "fold", F.posexplode(word_units).alias("pos", "symbol"))
-
-
-def reflow(words: DataFrame, template: DataFrame) -> DataFrame:
-    """Words (gpos, word) laid onto the slots (slot, seq_id, ln, wi) of a template by their global index."""
-    return template.join(words.withColumnRenamed("gpos", "slot"), "slot")
-
-
 def collapse(df: DataFrame, column: str, vocabulary: DataFrame, sentinel: str = text.OTHER) -> DataFrame:
     """``column`` with words outside the vocabulary (word) replaced; the vocabulary is a top-k table, so it is broadcast."""
     v = vocabulary.select(F.col("word").alias(column), F.lit(True).alias("_known"))

@@ -140,7 +140,7 @@ def mixture_weights(spark, sf_dir):
     """EM weights of the six nested coders over each fold's held-out words, and the bits a word of the mixture."""
     rows = residual.held_out(_two_folds(spark, sf_dir), _V)
     scored = cut_lineage(residual.probabilities(rows, rows.where("not train")).select("test", *residual.MODELS))
-    weights = experts.fit_mixture(scored, residual.MODELS, ["test"], 40)
+    weights = experts.fit_mixture(scored, residual.MODELS, ["test"], 20)
     w = spark.createDataFrame([(g[0], m, float(v)) for g, by in weights.items() for m, v in by.items()], "test string, expert string, weight double")
     wide = spark.createDataFrame([(g[0], [by[m] for m in residual.MODELS]) for g, by in weights.items()], "test string, w array<double>")
     mass = sum((F.col("w")[k] * F.col(m) for k, m in enumerate(residual.MODELS)), F.lit(0.0))
@@ -265,3 +265,37 @@ def eligible_split(spark, sf_dir):
     pages = once(table(spark, sf_dir, "page_sequence"), "seq_id", "lines").where((n >= 8) & F.size("lines").between(2, 40)).select("seq_id", n.cast("long").alias("n"))
     r = ranked_rows(pages, [], ["seq_id"], "r").groupBy(F.when(F.col("r") % 5 == 0, "evaluation").otherwise("training").alias("part")).agg(F.count("*").alias("pages"), F.sum("n").alias("characters"))
     return r
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import suite
+
+    return cut_lineage(suite.token_probabilities(suite.prepared(_two_folds(spark, sf_dir), 256)))
+
+
+@query()
+def expert_bits(spark, sf_dir):
+    """Bits a held-out word of each expert of the suite."""
+    from folioscope.operators import suite
+
+    return _scored(spark, sf_dir).groupBy("test").agg(F.count("*").alias("words"), *[F.round(-F.avg(F.log2(n)), 6).alias(n) for n in suite.NAMES])
+
+
+@query("SELECT unnest(['base', 'paragraph', 'boundary', 'edit_tight', 'edit_loose', 'class_8', 'class_16', 'exact_previous', 'exact_aligned']) AS expert, 0 AS violations")
+def expert_mass_check(spark, sf_dir):
+    """Contexts in which an expert's probabilities don't sum to 1: none."""
+    from folioscope.operators import suite
+
+    return suite.masses(suite.prepared(_two_folds(spark, sf_dir), 256)).select("expert", F.col("violations").cast("int").alias("violations"))
+
+
+@query()
+def token_trace(spark, sf_dir):
+    """One row a held-out word: losses of the experts, their gains over the base, and the expert that codes it best."""
+    from folioscope.operators import suite
+
+    s = _scored(spark, sf_dir)
+    loss = F.create_map(*[x for n in suite.NAMES for x in (F.lit(n), -F.log2(n))])
+    gain = F.create_map(*[x for n in suite.NAMES for x in (F.lit(n), F.log2(F.col(n) / F.col("base")))])
+    best = F.array_max(F.array(*[F.struct(F.col(n).alias("p"), F.lit(n).alias("n")) for n in suite.NAMES]))["n"]
+    return s.select("seq_id", "ln", "wi", "test", F.col("word").alias("target"), F.to_json(loss).alias("loss_bits"), F.to_json(gain).alias("gain_bits"), best.alias("dominant"))

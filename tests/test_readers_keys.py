@@ -97,7 +97,8 @@ def test_experts(spark):
     assert mass == pytest.approx(1)
     w = experts.mixture_weights(np.array([[0.2, 0.8]] * 20))
     assert w[1] > 0.999
-    assert experts.copy_weight([(10, 0.01, 0.5)])[0] > 0.9
+    fitted = experts.fit_copy_weights(spark.createDataFrame([("g", 10, 0.01, 0.5), ("h", 5, 0.5, 0.01)], "t string, n long, base double, edit double"), ["t"]).collect()
+    assert {r.t: r.weight > 0.5 for r in fitted} == {"g": True, "h": False}
     df = spark.createDataFrame([("g", 0.2, 0.8)] * 20 + [("h", 0.8, 0.2)] * 5, "t string, a double, b double")
     fitted = experts.fit_mixture(df, ["a", "b"], ["t"], 60)
     assert fitted[("g",)]["b"] > 0.999 and fitted[("h",)]["a"] > 0.999
