@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.operators import residual
+from folioscope.session import cut_lineage
 
 # Settings (insertion, deletion, copy) of the edit channel.
 EDITS = {"edit_tight": (0.05, 0.05, 0.9), "edit_loose": (0.15, 0.15, 0.7)}
@@ -193,8 +194,10 @@ def edit_grid(pairs: DataFrame, grid: Sequence[tuple[float, float, float]], alph
 def fit_copy_weights(rows: DataFrame, by: Sequence[str], rounds: int = 30) -> DataFrame:
     """(by, weight, log_likelihood): weight of ``edit`` against ``base`` from .25, kept in [.001, .999], by rounds of one distributed aggregate.
 
-    Each round returns one row a group; ``n`` is the multiplicity of a row.
+    Each round returns one row a group; ``n`` is the multiplicity of a row. Equal rows are collapsed into a table first, so that a round
+    reads two numbers a row and its plan, which the driver keeps, has no part of the making of ``rows``.
     """
+    rows = cut_lineage(rows.groupBy(*by, "base", "edit").agg(F.sum("n").alias("n")))
     weights = rows.select(*by).distinct().withColumn("w", F.lit(0.25))
     spark = rows.sparkSession
     part = F.col("w") * F.col("edit")

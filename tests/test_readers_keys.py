@@ -112,6 +112,23 @@ def test_experts(spark):
     assert experts.spherical_classes(v, {"a": 3, "b": 2, "c": 1, "d": 1}, 2) == {"a": 0, "b": 0, "c": 1, "d": 0}
 
 
+def test_copy_weights_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([("g", 10, 0.01, 0.5), ("g", 4, 0.01, 0.5), ("g", 1, 0.5, 0.01), ("h", 5, 0.5, 0.01)], "t string, n long, base double, edit double")
+    fitted = {r.t: (r.weight, r.log_likelihood) for r in experts.fit_copy_weights(rows.mapInPandas(count, rows.schema), ["t"]).collect()}
+    assert made.value == 4
+    w = 0.25
+    for _ in range(30):
+        w = min(max((14 * w * 0.5 / (w * 0.5 + (1 - w) * 0.01) + w * 0.01 / (w * 0.01 + (1 - w) * 0.5)) / 15, 0.001), 0.999)
+    assert fitted["g"][0] == pytest.approx(w, abs=1e-6) and fitted["h"][0] == pytest.approx(0.001, abs=1e-3)
+
+
 def test_resampling_helpers():
     assert resample.equal_windows(25, 5, 4) == [0, 7, 13, 20] and resample.equal_windows(4, 5, 4) == [] and resample.equal_windows(10, 4, 1) == [3]
     assert resample.balanced_folds({"a": 5, "b": 4, "c": 3, "d": 3}, 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
