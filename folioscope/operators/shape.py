@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text
 from folioscope.operators import resample
 from folioscope.operators.ranking import ranked_rows
+from folioscope.session import cut_lineage
 
 
 def shapes(words: DataFrame, keep: Sequence[str], grouped: bool = False) -> DataFrame:
@@ -45,11 +46,33 @@ def ranked(df: DataFrame, target: Sequence[str], name: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*target).orderBy("distance", name)))
 
 
+def _pruning(count: Column, size: int, widen: int) -> Column:
+    """The hex digits below which the hashes of ``size`` rows of ``count``, and some more, are expected; each widening doubles the share."""
+    share = F.lit((size + 8 * size**0.5 + 64) * 2**widen) / count
+    return F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex(F.floor(share * 2**48)), 12, "0")))
+
+
 def sample_words(words: DataFrame, group: Sequence[str], size: int, trials: int, seed: int, order: Sequence[str]) -> DataFrame:
-    """``size`` words of each group without replacement in every trial, the first in md5 order; smaller groups fall out."""
-    rows = words.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    picked = ranked_rows(rows, ["trial", *group], [resample.md5_order(seed, "trial", *group, *order), *order], "_r", "_n")
-    return picked.where((F.col("_r") < size) & (F.col("_n") >= size)).drop("_r", "_n")
+    """``size`` words of each group without replacement in every trial, the first in md5 order; smaller groups fall out.
+
+    Every row is hashed in every trial, but only rows below a bound of their group are kept and ordered: the first ``size`` lie
+    below it, or the bound is raised until they do, so the sample is that of the whole order. Groups are one row each. ``words`` is read
+    twice.
+    """
+    counts = cut_lineage(words.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") >= size))
+    keys = F.concat_ws("|", *[F.col(c).cast("string") for c in (*group, *order)])
+    names = words.columns
+    for widen in range(64):
+        bound = counts.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], _pruning(F.col("_n"), size, widen).alias("_below"))
+        on = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group)]
+        rows = words.join(F.broadcast(bound), on) if group else words.crossJoin(F.broadcast(bound))
+        rows = rows.select(*names, "_below", keys.alias("_keys")).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+        hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), "_keys"))
+        near = cut_lineage(rows.where(hashed < F.col("_below")).select(*names, "trial", hashed.alias("_h")))
+        found = near.groupBy("trial", *group).agg(F.count("*").alias("_k")).where(F.col("_k") >= size).count()
+        if found == trials * counts.count():
+            break
+    return ranked_rows(near, ["trial", *group], ["_h", *order], "_r").where(F.col("_r") < size).select(*names, "trial")
 
 
 def pseudo_word(pattern: Column, key: Column) -> Column:

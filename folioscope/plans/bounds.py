@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
-from folioscope.operators import coders, experts, formulas, keys, residual, resample, shape
+from folioscope.operators import coders, experts, formulas, keys, residual, resample, shape, tokens
 from folioscope.plans.coding import _PREQ, _RES, _V, _sig, _two_folds, rest
-from folioscope.plans.common import CORPORA_SQL, SEED, corpora, token_facts
+from folioscope.plans.common import CORPORA_SQL, SEED, corpora, page_lines, token_facts
 from folioscope.plans.shape_queries import _PAT, _SHAPES, _both
 from folioscope.session import cut_lineage
 from folioscope.sources.tables import once, table
@@ -54,8 +54,11 @@ d AS (SELECT trial, currier, lang, round(-ln(sum(sqrt(CAST(a.n AS DOUBLE) * b.n)
 
 def _resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(trial, currier, lang, distance) with words of both sides sampled in every trial."""
-    words = token_facts(spark, sf_dir).select("currier", "seq_id", "ln", "wi", "word")
-    refs = corpora(spark, sf_dir).select("corpus_id", "lang", F.posexplode("words").alias("pos", "word"))
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but a hash a word and trial
+    lines = cut_lineage(tokens.line_rows(page_lines(spark, sf_dir)).select("currier", "seq_id", "ln", "ws").repartition(parts))
+    words = lines.select("currier", "seq_id", "ln", F.posexplode("ws").alias("wi", "word"))
+    texts = cut_lineage(corpora(spark, sf_dir).repartition(parts))
+    refs = texts.select("corpus_id", "lang", F.posexplode("words").alias("pos", "word"))
     t = shape.shapes(shape.sample_words(words, ["currier"], _N, _T, SEED, ["seq_id", "ln", "wi"]), ["trial", "currier"])
     r = shape.shapes(shape.sample_words(refs, ["lang"], _N, _T, SEED, ["corpus_id", "pos"]).withColumn("word", F.lower("word")), ["trial", "lang"])
     met = t.withColumnRenamed("n", "a").join(r.withColumnRenamed("n", "b"), ["trial", "len", "pattern"])

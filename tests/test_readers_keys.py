@@ -134,3 +134,28 @@ def test_resampling_helpers():
     assert resample.balanced_folds({"a": 5, "b": 4, "c": 3, "d": 3}, 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
     with pytest.raises(ValueError):
         resample.balanced_folds({"a": 1}, 2)
+
+
+def test_samples_order_few_rows(spark, monkeypatch):
+    """The first words of the whole md5 order, while only a small part of the rows is ever ordered; a bound that is too low is raised."""
+    import hashlib
+
+    from folioscope.operators import shape
+
+    rows = [("a" if k % 4 else None, k, f"w{k}") for k in range(4000)] + [("few", k, "x") for k in range(9)]
+    words = spark.createDataFrame(rows, "g string, k int, word string")
+    ordered = []
+    whole = shape.ranked_rows
+
+    def counted(df, *args):
+        ordered.append(df.count())
+        return whole(df, *args)
+
+    monkeypatch.setattr(shape, "ranked_rows", counted)
+    key = lambda t, g, k: hashlib.md5("|".join(["7", str(t), *([g] if g else []), str(k)]).encode()).hexdigest()
+    expected = sorted((t, g or "", k) for t in (1, 2, 3) for g in ("a", None) for _, k in sorted((key(t, g, k), k) for h, k, _ in rows if h == g)[:10])
+    got = lambda: sorted((r.trial, r.g or "", r.k) for r in shape.sample_words(words, ["g"], 10, 3, 7, ["k"]).collect())
+    assert got() == expected and ordered[0] < 1500
+    first = shape._pruning
+    monkeypatch.setattr(shape, "_pruning", lambda n, size, widen: first(n * 64, size, widen))
+    assert got() == expected
