@@ -159,3 +159,16 @@ def test_samples_order_few_rows(spark, monkeypatch):
     first = shape._pruning
     monkeypatch.setattr(shape, "_pruning", lambda n, size, widen: first(n * 64, size, widen))
     assert got() == expected
+
+
+def test_both_sides_order_few_rows(spark, monkeypatch):
+    """Neither side of the resampling orders its words once a trial."""
+    from folioscope.operators import shape
+    from folioscope.plans import bounds
+    from folioscope.plans.common import corpora, token_facts
+
+    sf, ordered, whole = "/root/testdata/sf0.01", [], shape.ranked_rows
+    monkeypatch.setattr(shape, "ranked_rows", lambda df, *args: ordered.append(df.count()) or whole(df, *args))
+    bounds.resample_groups(spark, sf)
+    words = [token_facts(spark, sf).count(), corpora(spark, sf).selectExpr("sum(size(words)) n").first().n]
+    assert [x < 0.7 * bounds._T * n for x, n in zip(ordered, words)] == [True, True], (ordered, words)
