@@ -36,12 +36,12 @@ def _beside(parts: list[DataFrame], by: Sequence[str]) -> DataFrame:
     return reduce(join, parts)
 
 
-def mutual_information(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def mutual_information(df: DataFrame, x: str, y: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Mutual information in bits of two columns: (sum over joint - over x - over y of n log2 n) / N + log2 N.
 
-    No window over a value, so a value in a third of the rows makes no heavy task. No pairs give 0.
+    No window over a value, so a value in a third of the rows makes no heavy task. No pairs give 0. ``weight``: multiplicity of a row.
     """
-    joint = df.groupBy(*by, x, y).agg(F.count("*").alias("n"))
+    joint = df.groupBy(*by, x, y).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     parts = _beside([_log_sum(joint, by, (x, y), "xy"), _log_sum(joint, by, (x,), "x"), _log_sum(joint, by, (y,), "y")], by)
     n = F.col("total_xy")
     mi = F.coalesce((F.col("xy") - F.col("x") - F.col("y")) / n + F.log2(n), F.lit(0.0))
