@@ -64,3 +64,13 @@ def test_lines_are_counted_once_for_all_metrics(spark, monkeypatch, task_words,
             runs = Counter(tuple(ws[i : i + k]) for ws in made for i in range(len(ws) - k + 1))
             assert got[p, structure.RUNS, k, k] == runs.total()
             assert got[p, structure.REPEATED, k, k] == sum(n for n in runs.values() if n > 1)
+
+
+def test_structure_null_reads_counts_only(spark):
+    """What is left after the pass over the lines are small sums: no words, shuffles or n-grams in the plan."""
+    from folioscope.plans import coding
+
+    df = coding.structure_null(spark, "/root/testdata/sf0.001")
+    assert df.count() == coding.P + 1
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "md5" not in plan and "levenshtein" not in plan
