@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import text
-from folioscope.operators import resample
+from folioscope.operators import digests, resample
 from folioscope.operators.ranking import ranked_rows
 from folioscope.session import cut_lineage
 
@@ -52,6 +56,37 @@ def _pruning(count: Column, size: int, widen: int) -> Column:
     return F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex(F.floor(share * 2**48)), 12, "0")))
 
 
+def _below_bound(rows: DataFrame, trials: int, seed: int) -> DataFrame:
+    """``rows`` with trial and md5 (``_h``) of (seed, trial, ``_keys``) of each trial in which that is less than ``_below``.
+
+    The first word of a digest leaves out nearly all rows; the others are hashed whole.
+    """
+    names = [c for c in rows.columns if c not in ("_below", "_keys")]
+    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("trial", T.IntegerType()), T.StructField("_h", T.StringType())])
+    prefixes = [f"{seed}|{t}|" for t in range(1, trials + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in digests.gathered(batches):
+            keys, bound = table.column("_keys"), table.column("_below").dictionary_encode()
+            bounds = bound.dictionary.to_pylist()
+            code = bound.indices.to_numpy()
+            most = np.array([0xFFFFFFFF if b == "g" else int(b[:8], 16) for b in bounds], dtype=np.uint32)[code]
+            rows, trial, digest = [], [], []
+            for k, at, first in digests.first_words(keys, prefixes):
+                near = np.flatnonzero(first <= most[at : at + len(first)]) + at
+                for j, key in zip(near.tolist(), keys.take(pa.array(near)).to_pylist()):
+                    h = md5((prefixes[k] + key).encode()).hexdigest()
+                    if h < bounds[code[j]]:
+                        rows.append(j)
+                        trial.append(k + 1)
+                        digest.append(h)
+            if rows:
+                found = table.select(names).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array(trial, pa.int32()), pa.array(digest, pa.string())], names=[*names, "trial", "_h"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def sample_words(words: DataFrame, group: Sequence[str], size: int, trials: int, seed: int, order: Sequence[str]) -> DataFrame:
     """``size`` words of each group without replacement in every trial, the first in md5 order; smaller groups fall out.
 
@@ -66,9 +101,7 @@ def sample_words(words: DataFrame, group: Sequence[str], size: int, trials: int,
         bound = counts.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], _pruning(F.col("_n"), size, widen).alias("_below"))
         on = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group)]
         rows = words.join(F.broadcast(bound), on) if group else words.crossJoin(F.broadcast(bound))
-        rows = rows.select(*names, "_below", keys.alias("_keys")).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-        hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), "_keys"))
-        near = cut_lineage(rows.where(hashed < F.col("_below")).select(*names, "trial", hashed.alias("_h")))
+        near = cut_lineage(_below_bound(rows.select(*names, "_below", keys.alias("_keys")), trials, seed))
         found = near.groupBy("trial", *group).agg(F.count("*").alias("_k")).where(F.col("_k") >= size).count()
         if found == trials * counts.count():
             break
