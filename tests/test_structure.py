@@ -4,6 +4,8 @@ import random
 from collections import Counter
 from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.operators import structure
@@ -74,3 +76,50 @@ def test_structure_null_reads_counts_only(spark):
     assert df.count() == coding.P + 1
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "md5" not in plan and "levenshtein" not in plan
+
+
+@pytest.mark.parametrize("width", [40, 70_000, 300_000])
+@pytest.mark.parametrize("most", [256, 2])
+def test_runs_of_many_words_are_exact(monkeypatch, width, most):
+    """Runs are counted as numbers, also where four words don't fit into 64 bits, or the parts that this takes would be too many."""
+    monkeypatch.setattr(structure, "MOST_PARTS", most)
+    monkeypatch.setattr(structure, "PART_WORDS", 250_000)
+    rng = np.random.default_rng(width)
+    codes = np.concatenate([np.arange(width), np.arange(width), rng.integers(0, 9, 3000), rng.integers(0, width, 3000)]).astype(np.int32)
+    codes[:50] = np.arange(50)
+    codes[width + 5] = 7
+    sizes = rng.integers(1, 8, len(codes))
+    sizes = sizes[: np.searchsorted(np.cumsum(sizes), len(codes))]
+    sizes = np.append(sizes, len(codes) - sizes.sum())
+    left = np.minimum(np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes)), 4).astype(np.int8)
+    got = structure.run_counts(codes, left, width)
+    for k, order in enumerate(structure.ORDERS):
+        found = Counter(tuple(codes[i : i + order].tolist()) for i in np.flatnonzero(left >= order))
+        assert got[:, k].tolist() == [sum(n for n in found.values() if n > 1), found.total()]
+
+
+def test_lines_that_first_words_leave_equal_are_ordered_by_digests(monkeypatch):
+    """Equal first words fall back on the whole digest; long lines don't need room beside the line's number."""
+    keys, sizes = pa.array(["1|0", "2|0", "2|1"]), np.array([4, 1, 6])
+    expected = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10], *[[at + i for k, n, at in (("1|0", 4, 0), ("2|0", 1, 4), ("2|1", 6, 5)) for i in sorted(range(n), key=lambda i: md5(f"408|{p}|{k}|{i}".encode()).digest())] for p in (1, 2)]]
+    assert [o.tolist() for o in structure.orders(keys, sizes, 408, 2)] == expected
+    first = structure.digests.first_words
+    monkeypatch.setattr(structure.digests, "first_words", lambda *args: ((k, at, words & 0x80000000) for k, at, words in first(*args)))
+    assert [o.tolist() for o in structure.orders(keys, sizes, 408, 2)] == expected
+
+
+def test_structure_reads_lines_once(spark):
+    """Neither the frequent words nor the total take a pass over the lines of their own, and words aren't rows on the way."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lines = [(k % 3, k, ["a", "b", "c", "a"][k % 2 :]) for k in range(30)]
+    df = spark.createDataFrame(lines, "seq_id long, ln int, ws array<string>")
+    assert structure.structure_metrics(df.mapInArrow(count, df.schema), ["seq_id", "ln"], 2, 2, 408).count() == 3
+    assert read.value == len(lines)
+    words = structure.word_counts(structure.packed(df, ["seq_id", "ln"]), df.select("seq_id", "ln").schema)
+    assert sorted((r.word, r.n, *r.first) for r in words.collect()) == [("a", 45, 0, 0, 0), ("b", 30, 0, 0, 1), ("c", 30, 0, 0, 2)]
