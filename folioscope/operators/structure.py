@@ -25,7 +25,7 @@ from folioscope.session import cut_lineage
 METRICS = ("adjacent_mi", "position_mi", "exact_rate", "edit1_rate", "repeated_2", "repeated_3", "repeated_4")
 ORDERS = (2, 3, 4)
 TASK_WORDS = 16_000_000  # fixed value: words of one shuffle whose runs one task counts, if no word is too frequent
-PART_WORDS = 2_000_000  # fixed value: runs that a task holds at a time
+PART_WORDS = 8_000_000  # fixed value: runs that a task holds at a time
 BATCH_WORDS = 1_000_000  # fixed value: words that are shuffled at a time
 MOST_PARTS = 256  # fixed value: parts for which runs of 64 bits are worth passes over the words
 ADJACENT, POSITION, PAIRS, EXACT, EDIT, REPEATED, RUNS = range(7)
@@ -43,10 +43,11 @@ def one_edit(a: str, b: str) -> bool:
 
 def spelled(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of words and their sets of characters, in 64 bits."""
-    marks = np.zeros(len(words), dtype=np.uint64)
-    for k, w in enumerate(words):
-        marks[k] = sum({1 << (ord(c) % 64) for c in w})
-    return np.array([len(w) for w in words], dtype=np.int32), marks
+    length, marks = np.array([len(w) for w in words], dtype=np.int32), np.zeros(len(words), dtype=np.uint64)
+    bits = np.uint64(1) << (np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4") % 64).astype(np.uint64)
+    if len(bits):
+        marks[length > 0] = np.bitwise_or.reduceat(bits, (np.cumsum(length) - length)[length > 0])
+    return length, marks
 
 
 def near_pairs(length: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -139,21 +140,22 @@ def run_counts(codes: np.ndarray, left: np.ndarray, width: int, begins: np.ndarr
         left = np.minimum(left, sum(np.logical_and.reduce([np.append(known[k:], np.zeros(k, dtype=bool)) for k in range(j + 1)]).astype(np.int8) for j in range(ORDERS[-1])))
         first &= left >= ORDERS[0]
         bits = max(1, (width - 1).bit_length())
-    parts = -(-len(codes) // PART_WORDS) or 1
+    parts = 1 << max(0, -(-len(codes) // PART_WORDS) - 1).bit_length()  # a power of two
     excess = 1 << max(0, bits * ORDERS[-1] - 64)
     parts = max(parts, excess) if excess <= MOST_PARTS else parts
     if excess > MOST_PARTS:
         for part in range(parts):
             out[0] += nested_runs(codes, left, np.flatnonzero(first & (codes % parts == part)), width)
         return out
-    share, runs = (codes % parts).astype(np.uint16), (codes // parts).astype(np.uint64)
+    share, runs = (codes & (parts - 1)).astype(np.uint16), (codes >> (parts.bit_length() - 1)).astype(np.uint64)
     for j in range(1, ORDERS[-1]):
         runs <<= np.uint64(bits)
         runs[:-j] |= codes[j:].astype(np.uint32)
     for part in range(parts):
-        mine = first & (share == part)
+        mine = first if parts == 1 else first & (share == part)
         for k, order in enumerate(ORDERS):
-            placed = runs[mine if order == ORDERS[0] else mine & (left >= order)] >> np.uint64((ORDERS[-1] - order) * bits)
+            placed = runs[mine if order == ORDERS[0] else mine & (left >= order)]
+            placed >>= np.uint64((ORDERS[-1] - order) * bits)
             if (width - 1) // parts >> max(0, 32 - (order - 1) * bits) == 0 and (order - 1) * bits <= 32:
                 placed = placed.astype(np.uint32)
             else:
@@ -177,9 +179,12 @@ def packed(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in digests.gathered(batches, BATCH_WORDS, lambda b: len(b.column("ws").flatten())):
-            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("ws")), 0))
+            if pc.min(pc.list_value_length(batch.column("ws"))).as_py() == 0:
+                batch = batch.filter(pc.greater(pc.list_value_length(batch.column("ws")), 0))
             if batch.num_rows:
-                batch = batch.take(pc.sort_indices(batch, sort_keys=[(k, "ascending") for k in keys], null_placement="at_start"))
+                placed = pc.sort_indices(batch, sort_keys=[(k, "ascending") for k in keys], null_placement="at_start")
+                if (placed.to_numpy() != np.arange(len(placed))).any():  # else the words needn't be copied
+                    batch = batch.take(placed)
                 ends = np.append(0, np.cumsum(pc.list_value_length(batch.column("ws")).to_numpy(zero_copy_only=False)))
                 words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), batch.column("ws").flatten().dictionary_encode())
                 yield pa.record_batch([pa.array([to_bytes(batch.set_column(batch.num_columns - 1, "ws", words))], pa.binary())], names=["lines"])

@@ -117,7 +117,7 @@ def test_structure_reads_lines_once(spark):
             read.add(batch.num_rows)
             yield batch
 
-    lines = [(k % 3, k, ["a", "b", "c", "a"][k % 2 :]) for k in range(30)]
+    lines = [(k % 3, k, ["a", "b", "c", "a"][k % 2 :]) for k in range(30)] + [(0, -1, [])]
     df = spark.createDataFrame(lines, "seq_id long, ln int, ws array<string>")
     assert structure.structure_metrics(df.mapInArrow(count, df.schema), ["seq_id", "ln"], 2, 2, 408).count() == 3
     assert read.value == len(lines)
